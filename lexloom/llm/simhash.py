@@ -36,9 +36,10 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 HISTOGRAM_BITS = 14
-#: Keys of one trie leaf, at least; leaves number about LEAVES at most.
-LEAF_KEYS = 8192
-LEAVES = 2048
+#: The trie is cut into about LEAVES leaves, into more where a leaf would pass LEAF_KEYS keys.
+LEAVES = 64
+LEAF_KEYS = 1 << 18
+LEAST_KEYS = 512
 _ONE = np.uint64(1)
 
 
@@ -184,7 +185,7 @@ def linked(keys: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     prefix = F.shiftrightunsigned("fp", 64 - HISTOGRAM_BITS)
     histogram = [(int(r[0]), int(r[1])) for r in keys.groupBy(prefix.alias("p")).count().collect()]  # at most 2**HISTOGRAM_BITS rows
     total = sum(n for _, n in histogram)
-    leaves = _leaves(sorted(histogram), max(LEAF_KEYS, total // LEAVES))
+    leaves = _leaves(sorted(histogram), max(LEAST_KEYS, min(total // LEAVES, LEAF_KEYS)))
     pairs = _leaf_pairs(leaves, bits) if leaves else []
     lows = np.array([p << (64 - d) if d else 0 for p, d in leaves], np.uint64)
     of: list[list[tuple[int, int]]] = [[] for _ in leaves]
