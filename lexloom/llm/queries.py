@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, license_scan, quality_rules, simhash
+from lexloom.llm import decontaminate, license_scan, quality_rules, simhash, token_binary
 from lexloom.llm.common import small_batches
 
 
@@ -18,6 +17,16 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.write_and_read(_table(spark, sf_dir, "documents"), word_bpe(), end_id=1, by_word=True)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +41,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_token_binary": op4_token_binary,
     "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
