@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, license_scan, quality_rules, simhash, token_binary
+from lexloom.llm import decontaminate, license_scan, quality_rules, simhash, token_binary, token_counts
 from lexloom.llm.common import small_batches
 
 
@@ -27,6 +27,12 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.write_and_read(_table(spark, sf_dir, "documents"), word_bpe(), end_id=1, by_word=True)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_token_binary": op4_token_binary,
+    "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
