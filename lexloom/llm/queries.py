@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, license_scan, quality_rules, simhash, token_binary, token_counts
+from lexloom.llm import decontaminate, language_id, license_scan, quality_rules, simhash, token_binary, token_counts
 from lexloom.llm.common import small_batches
 
 
@@ -17,6 +17,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.learn_and_predict(_table(spark, sf_dir, "documents"))
+
+
 def word_bpe() -> str:
     import public_tokenizers
 
@@ -47,6 +51,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_language_id": op3_language_id,
     "op4_token_binary": op4_token_binary,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
