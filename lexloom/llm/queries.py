@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, language_id, license_scan, quality_rules, simhash, token_binary, token_counts
+from lexloom.llm import decontaminate, language_id, license_scan, quality_rules, simhash, token_binary, token_counts, warc
 from lexloom.llm.common import small_batches
 
 
@@ -49,6 +49,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"), spans=False)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
@@ -57,5 +61,6 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
