@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, language_id, license_scan, quality_rules, simhash, token_binary, token_counts, warc
+from lexloom.llm import decontaminate, language_id, license_scan, mixing, quality_rules, simhash, token_binary, token_counts, warc
 from lexloom.llm.common import small_batches
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op4_token_binary": op4_token_binary,
@@ -63,4 +68,4 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL}
