@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, language_id, license_scan, mixing, quality_rules, simhash, token_binary, token_counts, warc
+from lexloom.llm import decontaminate, language_id, license_scan, mixing, quality_rules, simhash, token_binary, token_counts, url_filter, warc
 from lexloom.llm.common import small_batches
 
 
@@ -45,6 +45,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -64,8 +68,9 @@ QUERIES = {
     "op4_token_binary": op4_token_binary,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}
