@@ -163,7 +163,7 @@ def mix(docs: DataFrame, percent: int = TARGET_PERCENT, max_epochs: int = MAX_EP
 
 def text_prefix(text: str, tokens: str) -> Column:
     """The text up to and with its word number ``tokens`` (names of columns)."""
-    return F.expr(f"""substring({text}, 1, aggregate(split(translate({text}, '\\t\\n\\u000b\\f\\r', '     '), ' '),
+    return F.expr(f"""substring({text}, 1, aggregate(split(translate({text}, '\\t\\n\\u000b\\u000c\\r', '     '), ' '),
         named_struct('n', 0L, 'at', 0),
         (a, w) -> if(a.n >= {tokens}, a, named_struct('n', a.n + if(w = '', 0L, 1L), 'at', a.at + length(w) + 1)),
         a -> a.at - 1))""")
