@@ -1,10 +1,4 @@
-"""Queries of the engine by name, with their SQL for comparison."""
+"""All queries of the engine by name, with their SQL for comparison."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from lexloom.plans import text_queries  # noqa: F401
+from lexloom.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
