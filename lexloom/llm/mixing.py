@@ -14,9 +14,8 @@ their bucket, so no task sees a whole leaf, however hot.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have none and are never
 chosen. Null domains, languages and sources are the leaves ``other``, ``und`` and
-``unknown``. Repeated rows count each. Extra columns: ignored by ``mix``, kept by
-``mixed_documents`` (names starting with two underscores are reserved). Empty tables give
-empty ones. DataFrame functions only.
+``unknown``. Repeated rows count each. Extra columns, whatever their names: ignored by
+``mix``, kept by ``mixed_documents``. Empty tables give empty ones. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -99,14 +98,16 @@ def leaf_budgets(leaves: DataFrame, total: int, max_epochs: int, weights: tuple[
     return found.select(*LEAF, "tokens", "n_rows", "alloc")
 
 
-def _with_leaf(docs: DataFrame, domain: Column, lang: Column, source: Column, text: Column) -> DataFrame:
-    return docs.withColumns(
-        {
-            LEAF[0]: F.coalesce(domain, F.lit("other")),
-            LEAF[1]: F.coalesce(lang, F.lit("und")),
-            LEAF[2]: F.coalesce(source, F.lit("unknown")),
-            "__n": token_count(text),
-        }
+def _with_leaf(docs: DataFrame, domain: Column, lang: Column, source: Column, text: Column, whole_row: bool = False) -> DataFrame:
+    """LEAF and ``__n`` with ``__id``, and the whole row in ``__row`` if asked: no column of docs can clash."""
+    row = [F.struct("*").alias("__row")] if whole_row else []
+    return docs.select(
+        *row,
+        docs["doc_id"].alias("__id"),
+        F.coalesce(domain, F.lit("other")).alias(LEAF[0]),
+        F.coalesce(lang, F.lit("und")).alias(LEAF[1]),
+        F.coalesce(source, F.lit("unknown")).alias(LEAF[2]),
+        token_count(text).alias("__n"),
     )
 
 
@@ -148,11 +149,11 @@ _WEIGHTS = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)
 
 def mix(docs: DataFrame, percent: int = TARGET_PERCENT, max_epochs: int = MAX_EPOCHS, weights=_WEIGHTS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: its leaf, tokens, whole epochs, tokens of the last epoch's prefix, tokens taken."""
-    narrow = _with_leaf(docs, source_domain(docs["source"]), docs["lang"], docs["source"], docs["text"]).select("doc_id", *LEAF, "__n")
+    narrow = _with_leaf(docs, source_domain(docs["source"]), docs["lang"], docs["source"], docs["text"])
     narrow = written(narrow, "tokens")
-    found = _chosen(narrow, _plan(narrow, percent, max_epochs, weights), "doc_id", seed)
+    found = _chosen(narrow, _plan(narrow, percent, max_epochs, weights), "__id", seed)
     return found.select(
-        "doc_id",
+        F.col("__id").alias("doc_id"),
         *(F.col(c).alias(name) for c, name in zip(LEAF, LEVELS)),
         F.col("__n").alias("n_tokens"),
         F.col("__full").alias("epochs"),
@@ -171,23 +172,23 @@ def text_prefix(text: str, tokens: str) -> Column:
 
 def mixed_documents(docs: DataFrame, percent: int = TARGET_PERCENT, max_epochs: int = MAX_EPOCHS, weights=_WEIGHTS, seed: int = SEED) -> DataFrame:
     """The mix itself: rows of docs once for each epoch; the last of a leaf is cut to its prefix of tokens."""
-    leaf = _with_leaf(docs, source_domain(docs["source"]), docs["lang"], docs["source"], docs["text"])
+    leaf = _with_leaf(docs, source_domain(docs["source"]), docs["lang"], docs["source"], docs["text"], whole_row=True)
     narrow = written(leaf.select(*LEAF, "__n"), "tokens")
-    found = _chosen(leaf, _plan(narrow, percent, max_epochs, weights), "doc_id", seed)
+    found = _chosen(leaf, _plan(narrow, percent, max_epochs, weights), "__id", seed)
     wholes = F.col("__full") + (F.col("__part") == F.col("__n")).cast("long")
     cut = (F.col("__part") > 0) & (F.col("__part") < F.col("__n"))
     found = found.filter("__n > 0").withColumns({"__wholes": wholes, "__cut": cut}).filter("__wholes > 0 or __cut")
     once = found.withColumn("__takes", F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__wholes").cast("int")), F.when(F.col("__cut"), F.array("__part")).otherwise(F.array().cast("array<long>"))))
-    rows = once.withColumn("__take", F.explode("__takes"))
-    rows = rows.withColumn("__text", F.when(F.col("__take") < 0, F.col("text")).otherwise(text_prefix("text", "__take")))
+    rows = once.select("__row", F.explode("__takes").alias("__take"))
+    rows = rows.withColumn("__text", F.when(F.col("__take") < 0, F.col("__row.text")).otherwise(text_prefix("__row.text", "__take")))
     out = []
     for c in docs.columns:
+        own = F.col("__row")[c]
         if c == "text":
-            out.append(F.col("__text").alias(c))
+            own = F.col("__text")
         elif c == "n_chars":
-            out.append(F.when(F.col("__take") < 0, F.col(c)).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
+            own = F.when(F.col("__take") < 0, own).otherwise(F.length("__text")).cast(docs.schema[c].dataType)
+        out.append(own.alias(c))
     return rows.select(*out)
 
 

@@ -20,7 +20,6 @@ stay, with the same component. Other columns are ignored. Empty tables give empt
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -276,7 +275,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
     keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep"), F.lit(1).alias("__one"))
     keep = written(keep.groupBy("__keep").agg(F.count("*").alias("__n")), "keep")
-    joined = docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")))
-    once = joined.filter("__n = 1 or __keep is null").select(docs.columns)
-    again = joined.filter("__n > 1 and __keep is not null").select(docs.columns)
-    return reduce(DataFrame.unionByName, [once, again.dropDuplicates([id_col])])
+    rows = docs.select(docs[id_col].alias("__id"), F.struct("*").alias("__row"))  # no column of docs can clash
+    joined = rows.join(keep, F.col("__id").eqNullSafe(F.col("__keep")))
+    once = joined.filter("__n = 1 or __keep is null").select("__id", "__row")
+    again = joined.filter("__n > 1 and __keep is not null").select("__id", "__row")
+    return once.unionByName(again.dropDuplicates(["__id"])).select("__row.*")
