@@ -2,18 +2,21 @@
 
 Windows and groups are keyed by paragraph; a paragraph comes from one row of text, so its
 edges are bounded by that. The path programs below need order within a paragraph and run
-per paragraph in pandas.
+over its sorted edges, streamed.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from itertools import compress
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
+from lexloom.operators.grouped import Columns, by_key
+
 
 def kinds_only(edges: DataFrame, kind: str = "kind", pos: str = "pos") -> DataFrame:
     """Interp, Ideogram, Other and Lemma edges, no abbreviations' own."""
@@ -39,11 +42,15 @@ def weighted(edges: DataFrame, freqs: DataFrame, flags: dict[str, float] | None
 
 
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of the cut-point component of each edge: one starts where no earlier edge reaches over."""
-    w = W.partitionBy(*keys).orderBy("beg", "nxt")
-    reach = F.max("nxt").over(w.rowsBetween(W.unboundedPreceding, -1))
-    starts = F.when(reach.isNull() | (reach <= F.col("beg")), 1).otherwise(0)
-    return edges.withColumn("__s", starts).withColumn("component", F.sum("__s").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__s")
+    """Number of the cut-point component of each edge: one starts where no earlier edge reaches over.
+
+    Edges of one start are of one component, so frames go by the value of ``beg``.
+    """
+    w = W.partitionBy(*keys).orderBy("beg")
+    reach = F.max("nxt").over(w.rangeBetween(W.unboundedPreceding, -1))
+    starts = F.when(reach.isNull() | (reach <= F.col("beg")), F.col("beg"))
+    out = edges.withColumn("__s", starts).withColumn("__s", F.max("__s").over(w.rangeBetween(W.unboundedPreceding, 0)))
+    return out.withColumn("component", F.dense_rank().over(W.partitionBy(*keys).orderBy("__s")).cast("long")).drop("__s")
 
 
 def sentences(edges: DataFrame, keys: list[str], is_stop: Column) -> DataFrame:
@@ -106,42 +113,45 @@ def merge_interps(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 # --- programs over the edges of one paragraph, in order of (beg, nxt) -------------------
 
+ORDER = ["beg", "nxt"]
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["beg", "nxt"], kind="stable")
 
+def _take(c: Columns, keep: list[bool]) -> Columns:
+    return {n: list(compress(v, keep)) for n, v in c.items()}
 
-def _reach(pdf: pd.DataFrame, keys: list[str], first: str, last: str) -> pd.DataFrame:
-    pdf = _ordered(pdf)
-    begin, end = pdf[first].iloc[0], pdf[last].iloc[0]
+
+def _reach(c: Columns, first: str, last: str) -> Columns:
+    begin, end = c[first][0], c[last][0]
     forward = {begin}
-    for b, n in zip(pdf.beg, pdf.nxt):
+    for b, n in zip(c["beg"], c["nxt"]):
         if b in forward:
             forward.add(n)
-    keep = [b in forward for b in pdf.beg]
+    out = _take(c, [b in forward for b in c["beg"]])
     status = "ok" if end in forward else f"BrokenPaths({begin},{end},{max(forward)})"
-    return pdf[keep].assign(status=status)
+    return out | {"status": [status] * len(out["beg"])}
 
 
 def reachable(edges: DataFrame, keys: list[str], first: str = "first", last: str = "last") -> DataFrame:
     """Edges reachable from ``first``; ``status`` says if ``last`` is, and how far one gets."""
-    schema = edges.schema.add("status", "string")
-    return edges.groupBy(*keys).applyInPandas(partial(_reach, keys=keys, first=first, last=last), schema)
+    schema = StructType([*edges.schema.fields, StructField("status", StringType())])
+    return by_key(edges, keys, ORDER, partial(_reach, first=first, last=last), schema)
 
 
-def _shortest(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    pdf = _ordered(pdf)
-    begin, end = pdf["first"].iloc[0], pdf["last"].iloc[0]
+def _shortest(c: Columns, keys: list[str]) -> Columns:
+    begin, end = c["first"][0], c["last"][0]
     best: dict[int, tuple] = {begin: (0, 0, ())}
-    for b, n, cost, size, orth in zip(pdf.beg, pdf.nxt, pdf.unannotated, pdf["size"], pdf.orth):
+    for b, n, cost, size, orth in zip(c["beg"], c["nxt"], c["unannotated"], c["size"], c["orth"]):
         if b in best:
             j, i, names = best[b]
-            new = (j + cost, i + size, names + (orth,) if cost else names)
+            new = (j + cost, i + size, (names, orth) if cost else names)
             if n not in best or new[:2] < best[n][:2]:
                 best[n] = new
-    found = best.get(end)
-    row = {k: pdf[k].iloc[0] for k in keys} | {"unannotated": found and found[0], "total": found and found[1], "names": found and list(found[2])}
-    return pd.DataFrame([row])
+    j, i, names = best.get(end, (None, None, None))
+    path = None if j is None else []
+    while names:
+        names, orth = names
+        path.append(orth)
+    return {k: [c[k][0]] for k in keys} | {"unannotated": [j], "total": [i], "names": [path and path[::-1]]}
 
 
 def fewest_unannotated(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,41 +161,59 @@ def fewest_unannotated(edges: DataFrame, keys: list[str]) -> DataFrame:
     sizes this is G9; with unannotated = 0 everywhere, G7. Null: no path.
     """
     schema = ", ".join(f"`{k}` {t}" for k, t in edges.dtypes if k in keys) + ", unannotated long, total long, names array<string>"
-    return edges.groupBy(*keys).applyInPandas(partial(_shortest, keys=keys), schema)
+    return by_key(edges, keys, [*ORDER, "orth"], partial(_shortest, keys=keys), schema)
 
 
-def _best(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    pdf = _ordered(pdf)
-    begin, end = pdf["first"].iloc[0], pdf["last"].iloc[0]
+def _best(c: Columns, tolerance: float) -> Columns:
+    begin, end = c["first"][0], c["last"][0]
     fore, back = {begin: 0.0}, {end: 0.0}
-    rows = list(zip(pdf.beg, pdf.nxt, pdf.quality))
+    rows = list(zip(c["beg"], c["nxt"], c["quality"]))
     for b, n, q in rows:
         if b in fore:
             fore[n] = max(fore.get(n, float("-inf")), fore[b] + q)
     for b, n, q in sorted(rows, key=lambda r: (-r[0], -r[1])):
         if n in back:
             back[b] = max(back.get(b, float("-inf")), back[n] + q)
-    top = fore.get(end)
-    if top is None:
-        return pdf.iloc[:0]
-    return pdf[[b in fore and n in back and fore[b] + q + back[n] >= top - tolerance for b, n, q in rows]]
+    top = fore.get(end, float("inf"))
+    return _take(c, [b in fore and n in back and fore[b] + q + back[n] >= top - tolerance for b, n, q in rows])
 
 
 def best_paths(edges: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
     """All edges on a path of greatest quality from ``first`` to ``last``."""
-    return edges.groupBy(*keys).applyInPandas(partial(_best, tolerance=tolerance), edges.schema)
+    return by_key(edges, keys, ORDER, partial(_best, tolerance=tolerance), edges.schema)
 
 
-def _cover(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.assign(__plain=pdf["cat"].isna()).sort_values(["beg", "nxt", "__plain"], ascending=[True, False, True], kind="stable")
+def _cover(c: Columns) -> Columns:
+    order = sorted(range(len(c["beg"])), key=lambda i: (c["beg"][i], -c["nxt"][i], c["cat"][i] is None, c["cat"][i] or ""))
     taken, at = [], None
-    for i, (b, n) in enumerate(zip(pdf.beg, pdf.nxt)):
-        if at is None or b >= at:
+    for i in order:
+        if at is None or c["beg"][i] >= at:
             taken.append(i)
-            at = n
-    return pdf.iloc[taken].drop(columns="__plain").assign(place=range(1, len(taken) + 1))
+            at = c["nxt"][i]
+    return {n: [v[i] for i in taken] for n, v in c.items()} | {"place": list(range(1, len(taken) + 1))}
 
 
 def greedy_cover(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Left to right the longest edge at each start, categorised ones first on a tie."""
-    return edges.groupBy(*keys).applyInPandas(_cover, edges.schema.add("place", "int"))
+    return by_key(edges, keys, ORDER, _cover, StructType([*edges.schema.fields, StructField("place", IntegerType())]))
+
+
+def tagger_path(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The edges a tagger chose, if they make one path from ``first`` to ``last``; else ``status`` says where not.
+
+    edges: keys, beg, nxt, first, last, chosen (boolean).
+    """
+
+    def run(c: Columns) -> Columns:
+        own = _take(c, c["chosen"])
+        at, status = c["first"][0], "ok"
+        for b, n in zip(own["beg"], own["nxt"]):
+            if b != at:
+                status = f"not one edge at {min(b, at)}"
+                break
+            at = n
+        if status == "ok" and at != c["last"][0]:
+            status = f"no edge at {at}"
+        return own | {"status": [status] * len(own["beg"])}
+
+    return by_key(edges, keys, ORDER, run, StructType([*edges.schema.fields, StructField("status", StringType())]))

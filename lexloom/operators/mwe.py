@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexloom.operators.grouped import by_key
+from lexloom.sources.scratch import written
+
 KEYS = ["doc_id", "par_id"]
 #: A rule table up to so many rows is broadcast.
 BROADCAST_RULES = 100_000
@@ -63,27 +66,26 @@ def produce(found: DataFrame, productions: DataFrame) -> DataFrame:
     return made.select(*KEYS, "beg", (F.col("end_") - F.col("beg")).alias("len"), "nxt", "orth", "cat").distinct()
 
 
-def fixpoint(edges: DataFrame, rules: DataFrame, productions: DataFrame, rounds: int = 5, save=None) -> DataFrame:
+def fixpoint(edges: DataFrame, rules: DataFrame, productions: DataFrame, rounds: int = 5) -> DataFrame:
     """Edges with all that the rules make of them in up to ``rounds`` rounds, as a set (M5, M7).
 
     Only edges that a slot can match are carried through the rounds; the others join at the
-    end. ``save`` (a written table) cuts the lineage and lets the loop stop early.
+    end. Each round is a table of the shared folder, so its plan stays small and a lost
+    executor costs a round at most; the loop ends early when nothing new comes.
     """
     n = rules.count()
     wanted = _small(rules.select("op", "arg").distinct(), n)
     probe = edges.select("*", F.lower("orth").alias("__o"))
     live = probe.join(wanted.filter("op = 'orth'").select(F.col("arg").alias("__o")), "__o", "left_semi").drop("__o")
     categorised = edges.filter("cat is not null").join(wanted.filter("op = 'cat'").select(F.col("arg").alias("cat")), "cat", "left_semi").select(live.columns)
-    live = live.unionByName(categorised).distinct()
-    size = None
+    live = written(live.unionByName(categorised).distinct(), "mwe")
+    size = live.count()
     for _ in range(rounds):
-        live = live.unionByName(produce(matches(live, rules), productions)).distinct()
-        if save:
-            live = save(live)
-            now = live.count()
-            if now == size:
-                break
-            size = now
+        live = written(live.unionByName(produce(matches(live, rules), productions)).distinct(), "mwe")
+        now = live.count()
+        if now == size:
+            break
+        size = now
     return live
 
 
@@ -130,28 +132,20 @@ def assemble(edges: DataFrame, groups: int = 10) -> DataFrame:
     of groups, per segment.
     """
 
-    def run(pdf):
-        rows = pdf.sort_values(["nxt", "beg", "edge_id"], kind="stable")
-        best: dict[int, dict[int, tuple[int, tuple]]] = {0: {0: (0, ())}}  # end -> mask -> (covered, edges)
-        states: list[tuple[int, int, int, tuple]] = [(0, 0, 0, ())]  # end, mask, covered, edges
-        for e, b, n, g in zip(rows.edge_id, rows.beg, rows.nxt, rows.grp):
-            bit, new = 1 << int(g), {}
-            for end, mask, covered, chosen in states:
+    def run(c):
+        states: dict[tuple[int, int], tuple[int, tuple]] = {(0, 0): (0, ())}  # (end, mask): covered, edges
+        for e, b, n, g in zip(c["edge_id"], c["beg"], c["nxt"], c["grp"]):
+            bit = 1 << g
+            for (end, mask), (covered, chosen) in list(states.items()):
                 if end <= b and not mask & bit:
-                    key = (int(n), mask | bit)
-                    value = (covered + int(n - b), chosen + (int(e),))
-                    if key not in new or (value[0], [-x for x in value[1]]) > (new[key][0], [-x for x in new[key][1]]):
-                        new[key] = value
-            merged = {(s[0], s[1]): (s[2], s[3]) for s in states}
-            for key, value in new.items():
-                if key not in merged or value[0] > merged[key][0]:
-                    merged[key] = value
-            states = [(*k, *v) for k, v in merged.items()]
-        del best
-        top = min(states, key=lambda s: (-s[2], s[3]))
-        return rows[rows.edge_id.isin(top[3])]
-
-    return edges.groupBy("doc_id", "par_id", "segment").applyInPandas(run, edges.schema)
+                    key, value = (n, mask | bit), (covered + n - b, (*chosen, e))
+                    if key not in states or (-value[0], value[1]) < (-states[key][0], states[key][1]):
+                        states[key] = value
+        _, chosen = min(states.values(), key=lambda s: (-s[0], s[1]))
+        keep = [e in chosen for e in c["edge_id"]]
+        return {name: [v for v, k in zip(values, keep) if k] for name, values in c.items()}
+
+    return by_key(edges, [*KEYS, "segment"], ["nxt", "beg", "edge_id"], run, edges.schema)
 
 
 def token_trie(pars_tokens: DataFrame, phrases: DataFrame, ignore_case: bool = True) -> DataFrame:

@@ -109,7 +109,7 @@ for _n, _s in [*((k, v) for k, v in tokens.ENTITIES.items() if k != "amp"), ("am
     _ENT = f"replace({_ENT}, '&{_n};', '{_s}')"
 
 
-@query(f"SELECT page_id, length({_ENT}) AS n_chars, md5({_ENT}) AS digest FROM pages")
+@query(f"SELECT page_id, length({_ENT})::INT AS n_chars, md5({_ENT}) AS digest FROM pages")
 def html_entities(spark, sf_dir):
     """Entities."""
     plain = tokens.decode_entities(F.col("html"))
