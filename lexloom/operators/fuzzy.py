@@ -6,10 +6,11 @@ import heapq
 import math
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.operators.grouped import by_key
+
 P_INSERT, P_DELETE, P_TRANSPOSE, P_SUBSTITUTE, P_DIACRITIC = 0.000524, 0.000167, 0.000091, 0.000278, 0.033395
 DIACRITICS = {frozenset(p) for p in ("aą", "cć", "eę", "lł", "nń", "oó", "sś", "zż", "zź", "aá", "eé", "ií", "oö", "uü", "uú", "eè", "eê")}
 _P_OK = 1 - P_INSERT - P_DELETE - P_TRANSPOSE - P_SUBSTITUTE - P_DIACRITIC
@@ -195,17 +196,21 @@ def align_transcripts(observed: DataFrame, correct: DataFrame, limit: int = 20)
     Both: time, speaker, seq, line. Groups are the lines of one time stamp and speaker.
     """
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out, right = [], list(b.sort_values("seq").line)
-        for line in a.sort_values("seq").line:
-            for i, other in enumerate(right):
-                if align(line, other)[0] <= limit:
-                    out.append((key[0], key[1], line, other))
-                    right = right[i + 1 :]
-                    break
-        return pd.DataFrame(out, columns=["time", "speaker", "observed", "correct"])
-
-    return observed.groupBy("time", "speaker").cogroup(correct.groupBy("time", "speaker")).applyInPandas(run, "time string, speaker string, observed string, correct string")
+    def run(c):
+        out = []
+        right = [line for side, line in zip(c["side"], c["line"]) if side == 1]
+        for side, line in zip(c["side"], c["line"]):
+            if side == 0:
+                for i, other in enumerate(right):
+                    if abs(len(line) - len(other)) <= limit and align(line, other)[0] <= limit:
+                        out.append((line, other))
+                        right = right[i + 1 :]
+                        break
+        n = len(out)
+        return {"time": c["time"][:1] * n, "speaker": c["speaker"][:1] * n, "observed": [o for o, _ in out], "correct": [o for _, o in out]}
+
+    sides = [df.select("time", "speaker", F.lit(i).alias("side"), "seq", F.coalesce("line", F.lit("")).alias("line")) for i, df in enumerate((observed, correct))]
+    return by_key(sides[0].unionByName(sides[1]), ["time", "speaker"], ["side", "seq"], run, "time string, speaker string, observed string, correct string")
 
 
 def edit_counts(script: list[tuple[str, str, str]]) -> Counter:

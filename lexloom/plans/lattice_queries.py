@@ -326,10 +326,10 @@ def sentence_dump(spark, sf_dir):
 # --- edit distance --------------------------------------------------------------------
 
 
-@query("WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\b[a-z]{5,}\\b')) AS w FROM benchmark), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\b[a-z]{5,}\\b')) AS w FROM documents) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS distance FROM a, b WHERE abs(length(a.w) - length(b.w)) <= 1 AND levenshtein(a.w, b.w) <= 1")
+@query("WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS w FROM benchmark), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS w FROM documents) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS distance FROM a, b WHERE abs(length(a.w) - length(b.w)) <= 1 AND levenshtein(a.w, b.w) <= 1")
 def edit_distance_pairs(spark, sf_dir):
     """F1 as a similarity join."""
-    low = lambda df: df.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([a-z]{5,})\b"), F.lit(1))).alias("word")).distinct()
+    low = lambda df: df.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{5,})"), F.lit(1))).alias("word")).distinct()
     return Z.within_one(low(table(spark, sf_dir, "benchmark")), low(docs(spark, sf_dir)))
 
 
