@@ -52,6 +52,8 @@ def read(text: str) -> Cat:
 
     def primary() -> Cat:
         nonlocal at
+        if at == len(tokens):
+            raise ValueError(f"a category is missing: {text}")
         token = tokens[at]
         at += 1
         if token == "(":

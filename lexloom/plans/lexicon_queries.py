@@ -230,7 +230,7 @@ def suffix_strip(spark, sf_dir):
     return D.strip_suffixes(vocabulary(spark, sf_dir).select("orth"), "orth", _ENDINGS).groupBy("stem", "suffix").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH v AS ({VOCAB}) SELECT length(orth) AS size, count(*) AS n FROM v WHERE orth NOT IN (SELECT orth FROM v WHERE n > 50) GROUP BY 1")
+@query(f"WITH v AS ({VOCAB}) SELECT length(orth)::INT AS size, count(*) AS n FROM v WHERE orth NOT IN (SELECT orth FROM v WHERE n > 50) GROUP BY 1")
 def exception_filter(spark, sf_dir):
     """E6."""
     v = vocabulary(spark, sf_dir)
@@ -266,7 +266,7 @@ def exactly_one(spark, sf_dir):
     return D.not_exactly_one(v, M.probe_suffix_rules(v, rules(spark).filter("rule_id <> 'r9'"), 4), ["orth"])
 
 
-@query(f"SELECT lemma_len, all_valid, any_valid, count(*) AS n FROM (SELECT length(orth) AS lemma_len, orth, bool_and(find <> '') AS all_valid, bool_or(find <> '') AS any_valid FROM ({PROBE}) GROUP BY ALL) GROUP BY ALL")
+@query(f"SELECT lemma_len, all_valid, any_valid, count(*) AS n FROM (SELECT length(orth)::INT AS lemma_len, orth, bool_and(find <> '') AS all_valid, bool_or(find <> '') AS any_valid FROM ({PROBE}) GROUP BY ALL) GROUP BY ALL")
 def validation_flags(spark, sf_dir):
     """E12, E13, E27."""
     got = M.probe_suffix_rules(vocabulary(spark, sf_dir), rules(spark), 4).select("orth", "rule_id", "find")
