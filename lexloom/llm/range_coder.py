@@ -18,10 +18,10 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-#: Blocks in step, so a group has at most BLOCK * LANES ids.
-LANES = 1024
-SLOTS_BITS = 12
+BLOCK = 1024
+#: Blocks in step, so a group has at most BLOCK * LANES ids; many short arrays' worth of work in each numpy call.
+LANES = 4096
+SLOTS_BITS = 9
 CONFIDENCE = 16
 ONE = 1 << 12
 _U = np.uint64
@@ -80,6 +80,16 @@ class _Model:
         self.last[:n] = ids
 
 
+def _ripe(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Where the top word is settled, or the range too small to go on."""
+    return np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))
+
+
+def _cut(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """The range, cut to end at the next carry where the top word isn't settled."""
+    return np.where((low ^ (low + rng)) < _TOP, rng, (~low + _U(1)) & _LOW32)
+
+
 def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids: uint16, at most BLOCK * LANES. Words of each block, CRC of each, all words in order."""
     n = len(ids)
@@ -92,9 +102,7 @@ def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.nda
     freq = freq.astype(np.uint64)
     model = _Model(lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    width = 2 * BLOCK + 8
-    out, pos = np.zeros(lanes * width, np.uint16), np.arange(lanes, dtype=np.int64) * width
-    first = pos.copy()
+    out_lane, out_word = [], []
     for t in range(BLOCK):
         m = lanes if t < tail else lanes - 1
         if not m:
@@ -114,30 +122,22 @@ def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.nda
             unit, xe = rg[esc] >> _16, x[esc]
             lo[esc] += unit * cum[xe]
             rg[esc] = unit * freq[xe]
-        idx = None
-        while True:
-            a, b = (lo, rg) if idx is None else (lo[idx], rg[idx])
-            settled = (a ^ (a + b)) < _TOP
-            small = ~settled & (b < _BOT)
-            need = np.flatnonzero(settled | small)
-            if not len(need):
-                break
-            tight = small[need]
-            idx = need if idx is None else idx[need]
-            a, b = lo[idx], rg[idx]
-            b[tight] = (~a[tight] + _U(1)) & _LOW32
-            out[pos[idx]] = (a >> _48).astype(np.uint16)
-            pos[idx] += 1
-            lo[idx], rg[idx] = a << _16, b << _16
+        idx = _ripe(lo, rg)
+        while len(idx):
+            a, b = lo[idx], _cut(lo[idx], rg[idx])
+            out_lane.append(idx.astype(np.uint16))
+            out_word.append((a >> _48).astype(np.uint16))
+            lo[idx], rg[idx] = a, b = a << _16, b << _16
+            idx = idx[_ripe(a, b)]
         low[:m], rng[:m] = lo, rg
         model.learn(m, x, hit_two)
     for shift in (48, 32, 16, 0):
-        out[pos] = ((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
-        pos += 1
+        out_lane.append(np.arange(lanes, dtype=np.uint16))
+        out_word.append(((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16))
+    lane, word = np.concatenate(out_lane), np.concatenate(out_word)
     raw = ids.astype("<u2")
     crc = np.array([zlib.crc32(raw[i : i + BLOCK]) for i in range(0, n, BLOCK)], np.uint32)
-    words = pos - first
-    return words.astype(np.uint32), crc, np.concatenate([out[a:b] for a, b in zip(first, pos)]) if lanes else out
+    return np.bincount(lane, minlength=lanes).astype(np.uint32), crc, word[np.argsort(lane, kind="stable")]
 
 
 def decode_blocks(n: int, freq: np.ndarray, words: np.ndarray, crc: np.ndarray, payload: np.ndarray) -> np.ndarray:
@@ -177,21 +177,14 @@ def decode_blocks(n: int, freq: np.ndarray, words: np.ndarray, crc: np.ndarray,
             x[esc] = xe
             lo[esc] += unit * cum[xe]
             rg[esc] = unit * freq[xe]
-        idx = None
-        while True:
-            a, b = (lo, rg) if idx is None else (lo[idx], rg[idx])
-            settled = (a ^ (a + b)) < _TOP
-            small = ~settled & (b < _BOT)
-            need = np.flatnonzero(settled | small)
-            if not len(need):
-                break
-            tight = small[need]
-            idx = need if idx is None else idx[need]
-            a, b = lo[idx], rg[idx]
-            b[tight] = (~a[tight] + _U(1)) & _LOW32
-            code[idx] = code[idx] << _16 | data[pos[idx]]
-            pos[idx] += 1
-            lo[idx], rg[idx] = a << _16, b << _16
+        idx = _ripe(lo, rg)
+        while len(idx):
+            a, b = lo[idx], _cut(lo[idx], rg[idx])
+            at = pos[idx]
+            code[idx] = code[idx] << _16 | data[at]
+            pos[idx] = at + 1
+            lo[idx], rg[idx] = a, b = a << _16, b << _16
+            idx = idx[_ripe(a, b)]
         low[:m], rng[:m] = lo, rg
         model.learn(m, x, hit_two)
         grid[t, :m] = x

@@ -9,9 +9,9 @@ harm; only files in the returned manifest count. ``read_ids`` takes a task for e
 Null text is empty and gives the end id alone. Null ids come first. Repeated ids stay, each
 with its own row. Empty tables give no file and no row. Other columns are ignored.
 
-Words cut at space, tab, line feed and carriage return can be encoded one by one when the
-tokenizer drops white space (``by_word=True``); ids then come from a bounded cache per
-worker. ASCII words are cut further as the tokenizer's own pre-tokenizer does.
+Words cut at ASCII white space can be encoded one by one when the tokenizer drops white
+space (``by_word=True``); ids then come from a bounded cache per worker. Words of ASCII and
+Latin-1 letters are cut further as the tokenizer's own pre-tokenizer does.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,11 +34,14 @@ from lexloom.llm.common import fresh_dir, open_fs, put_file, text_batches
 
 MAGIC = b"LXTOKID1"
 GROUP = range_coder.BLOCK * range_coder.LANES
-CACHE_WORDS = 200_000
+#: Words and pieces of words whose ids a worker remembers.
+CACHE_WORDS = 600_000
+#: Pieces encoded in one go.
+JOINED = 200
 DOCS_SCHEMA = "{id} long, start long, n_tokens long, ids_crc32 long"
-_CHUNKS = re.compile(r"[^ \n\t\r]+").findall
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
-_PLAIN = re.compile(r"[!-~]+").fullmatch
+# Letters of ASCII and of Latin-1 are one code point each, whatever stands beside them.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+", re.ASCII).findall
+_PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 
 
 class WordEncoder:
@@ -53,37 +57,67 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 2**16 and more don't fit this format")
         self.by_word = by_word
-        self.chunks: dict[str, bytes] = {}
+        # Every piece ends in an entry of its own kind, so many can be encoded in one go.
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in found]
-
-    def _learn(self, chunks: set[str]) -> None:
-        cut, direct = {}, []
-        for chunk in chunks:
-            if _PLAIN(chunk) and "<|" not in chunk:
-                cut[chunk] = _PIECES(chunk.lower())
+        return [array("H", e.ids).tobytes() for e in found]
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for at in range(0, len(new), JOINED):
+            part = new[at : at + JOINED]
+            ids = np.frombuffer(self._encode([" ".join(part)])[0], np.uint16)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 2
+            if len(stops) == len(part) and stops[-1] == 2 * len(ids):
+                data, start = ids.tobytes(), 0
+                for piece, stop in zip(part, stops.tolist()):
+                    self.pieces[piece] = data[start:stop]
+                    start = stop
+            else:  # an entry that ends words elsewhere too: one by one
+                self.pieces.update(zip(part, self._encode(part)))
+
+    def _learn(self, new: set[bytes]) -> None:
+        one, cut, direct = {}, {}, {}
+        for word in new:
+            if word.isalpha():  # ASCII letters: a piece as it is
+                one[word] = word.decode().lower()
+                continue
+            text = word.decode()
+            if _PLAIN(text) and "<|" not in text:
+                cut[word] = _PIECES(text.lower())
             else:
-                direct.append(chunk)
-        new = list({p for own in cut.values() for p in own} - self.pieces.keys())
-        self.pieces.update(zip(new, self._encode(new)))
-        self.chunks.update(zip(direct, self._encode(direct)))
+                direct[word] = text
+        wanted = set(one.values()).union(*cut.values())
+        self._learn_pieces([p for p in wanted if p not in self.pieces])
         get = self.pieces.__getitem__
-        self.chunks.update((chunk, b"".join(map(get, own))) for chunk, own in cut.items())
+        self.words.update(zip(one, map(get, one.values())))
+        self.words.update(zip(direct, self._encode(list(direct.values()))))
+        self.words.update((word, b"".join(map(get, own))) for word, own in cut.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return self._encode([t or "" for t in texts])
-        cut = [_CHUNKS(t) if t else [] for t in texts]
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        self._learn(set().union(*cut) - self.chunks.keys())
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        for cache in (self.words, self.pieces):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        get, cut, missing = self.words.get, [], set()
+        for text in texts:
+            plain = text.encode() if text else b""
+            if b"<|" not in plain:  # else a special token may hide in other case
+                plain = plain.lower()
+            words = plain.split()
+            ids = list(map(get, words))
+            cut.append((words, ids))
+            if None in ids:
+                missing.update(w for w, i in zip(words, ids) if i is None)
+        if missing:
+            self._learn(missing)
+        get = self.words.__getitem__
+        return [b"".join(map(get, words) if None in ids else ids) for words, ids in cut]
 
 
 @lru_cache(maxsize=2)
