@@ -60,11 +60,12 @@ def lattice_best_paths(spark, sf_dir):
     return G.best_paths(e, ["par"]).select("par", "beg", "nxt", "orth")
 
 
-_CUT = LATTICE + """, c AS (SELECT *, CASE WHEN coalesce(max(nxt) OVER (PARTITION BY par ORDER BY beg RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= beg THEN beg END AS s FROM lat),
-d AS (SELECT *, max(s) OVER (PARTITION BY par ORDER BY beg RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM c), e AS (SELECT *, dense_rank() OVER (PARTITION BY par ORDER BY r) AS component FROM d)"""
+_CUT = LATTICE + """, c AS (SELECT par, beg, max(nxt) AS m FROM lat GROUP BY ALL),
+d AS (SELECT *, CASE WHEN coalesce(max(m) OVER (PARTITION BY par ORDER BY beg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= beg THEN 1 ELSE 0 END AS s FROM c),
+k AS (SELECT par, beg, (sum(s) OVER (PARTITION BY par ORDER BY beg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS component FROM d)"""
 
 
-@query(_CUT + "SELECT par, beg, nxt, orth, component FROM e")
+@query(_CUT + "SELECT par, beg, nxt, orth, component FROM lat JOIN k USING (par, beg)")
 def cutpoint_components(spark, sf_dir):
     """G11."""
     return G.components(lattice(spark, sf_dir), ["par"]).select("par", "beg", "nxt", "orth", "component")
