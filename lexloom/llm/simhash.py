@@ -269,14 +269,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is their component's: one document of each group stays.
 
-    Rows that repeat an id are copies of one document: one of them stays. A row without an
-    id stays only if nothing in its group has one (then all such rows do).
+    Rows that repeat an id are copies of one document: one of them stays. Rows without an id
+    can't be told apart: they stay if one of them is in a group in which nothing has an id.
+    The texts are shuffled once, by id, to meet the ids that stay; at any size alike, as the
+    ids that stay grow with the documents.
     """
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep"), F.lit(1).alias("__one"))
-    keep = written(keep.groupBy("__keep").agg(F.count("*").alias("__n")), "keep")
-    rows = docs.select(docs[id_col].alias("__id"), F.struct("*").alias("__row"))  # no column of docs can clash
-    joined = rows.join(keep, F.col("__id").eqNullSafe(F.col("__keep")))
-    once = joined.filter("__n = 1 or __keep is null").select("__id", "__row")
-    again = joined.filter("__n > 1 and __keep is not null").select("__id", "__row")
-    return once.unionByName(again.dropDuplicates(["__id"])).select("__row.*")
+    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep")).agg(F.count("*").alias("__n"))
+    keep = written(keep, "keep")
+    nulls, repeated = keep.agg(F.count_if(F.col("__keep").isNull()), F.count_if(F.col("__keep").isNotNull() & (F.col("__n") > 1))).first()
+    once = keep.filter("__n = 1").hint("merge")
+    out = docs.join(once, docs[id_col] == once["__keep"], "left_semi")
+    if repeated:
+        more = keep.filter("__n > 1").hint("merge")
+        out = out.unionByName(docs.join(more, docs[id_col] == more["__keep"], "left_semi").dropDuplicates([id_col]))
+    if nulls:
+        out = out.unionByName(docs.filter(docs[id_col].isNull()))
+    return out
