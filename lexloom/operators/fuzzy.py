@@ -190,6 +190,40 @@ def corrected(lines: DataFrame, words: list[str], line: str = "line") -> DataFra
     return lines.mapInPandas(run, schema)
 
 
+def within(a: str, b: str, limit: int) -> bool:
+    """Whether ``align`` at unit cost takes at most ``limit`` edits (F9): the cells within ``limit`` of the diagonal, two lines of them.
+
+    No line of cells is lower than the lower of the two before it, so two above the limit end it.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > limit:
+        return False
+    over = limit + 1
+    before: list[int] = []
+    last = [min(j, over) for j in range(m + 1)]
+    low = 0
+    for i in range(1, n + 1):
+        row = [over] * (m + 1)
+        if i <= limit:
+            row[0] = i
+        x = a[i - 1]
+        for j in range(max(1, i - limit), min(m, i + limit) + 1):
+            y = b[j - 1]
+            best = last[j - 1] + (x != y)
+            if last[j] < best:
+                best = last[j] + 1
+            if row[j - 1] < best:
+                best = row[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and before[j - 2] < best:
+                best = before[j - 2] + 1
+            row[j] = best if best < over else over
+        now = min(row[max(0, i - limit) : min(m, i + limit) + 1])
+        if now > limit and low > limit:
+            return False
+        before, last, low = last, row, now
+    return last[m] <= limit
+
+
 def align_transcripts(observed: DataFrame, correct: DataFrame, limit: int = 20) -> DataFrame:
     """Lines of two transcripts by time and speaker, paired in order if at most ``limit`` edits apart.
 
@@ -202,7 +236,7 @@ def align_transcripts(observed: DataFrame, correct: DataFrame, limit: int = 20)
         for side, line in zip(c["side"], c["line"]):
             if side == 0:
                 for i, other in enumerate(right):
-                    if abs(len(line) - len(other)) <= limit and align(line, other)[0] <= limit:
+                    if within(line, other, limit):
                         out.append((line, other))
                         right = right[i + 1 :]
                         break

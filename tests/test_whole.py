@@ -1,10 +1,12 @@
 """Queries over all of their input: against brute force, or SQL without a filter."""
 
+import random
 from collections import Counter, defaultdict
 from itertools import product
 
 import compare
 
+from lexloom.operators import fuzzy
 from lexloom.plans import catalog
 
 
@@ -26,3 +28,23 @@ def test_accepted_orders_are_those_of_the_whole_table(spark, sf_dir):
     language = {"ARA", "ANRA", "ARAN", "ANRAN"}
     want = Counter(len(w) for w in places(compare.duck(sf_dir)).values() if len(w) <= 5 and language & set(map("".join, product(*w))))
     assert {r["n_tokens"]: r["n"] for r in catalog.QUERIES["chart_accepts"](spark, sf_dir).collect()} == want
+
+
+def test_distance_up_to_a_limit_is_that_of_the_whole_matrix():
+    rng = random.Random(7)
+    for _ in range(1500):
+        a = [rng.choice("abc") for _ in range(rng.randrange(14))]
+        b = a[:] if rng.random() < 0.7 else [rng.choice("abc") for _ in range(rng.randrange(14))]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = [rng.choice("abc") for _ in range(rng.randrange(3))]
+        a, b = "".join(a), "".join(b)
+        edits = fuzzy.align(a, b)[0]
+        assert [fuzzy.within(a, b, k) for k in range(7)] == [edits <= k for k in range(7)]
+
+
+def test_turns_of_every_length_are_aligned(spark, tmp_path):
+    lines = [(1, 0, "user", "a" * 300 + "e"), (1, 1, "assistant", None), (2, 0, "user", "e" * 25), (2, 1, "user", "short e")]
+    spark.createDataFrame(lines, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["time"], r["speaker"], r["observed"], r["correct"]) for r in catalog.QUERIES["transcript_alignment"](spark, str(tmp_path)).collect()}
+    assert got == {("1", "user", "a" * 300 + "ee", "a" * 300 + "e"), ("1", "assistant", "", ""), ("2", "user", "short ee", "short e")}
