@@ -2,7 +2,7 @@
 
 A rule is rows (rule_id, slot, op, arg); ``op`` is ``orth`` or ``cat``. A match is a chain of
 edges, the next beginning where the last ends. Only edges that some slot can match take
-part: the filter is the vocabulary of the rules, broadcast while it is small.
+part in matching: the filter is the vocabulary of the rules, broadcast while it is small.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def fixpoint(edges: DataFrame, rules: DataFrame, productions: DataFrame, rounds:
         if now == size:
             break
         size = now
-    return live
+    return live.unionByName(edges.select(live.columns)).distinct()
 
 
 def contained(spans: DataFrame, keys: list[str], same: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import product
 import compare
 
 from lexloom.operators import fuzzy
-from lexloom.plans import catalog
+from lexloom.plans import catalog, lattice_queries
 
 
 def places(con):
@@ -48,3 +48,14 @@ def test_turns_of_every_length_are_aligned(spark, tmp_path):
     spark.createDataFrame(lines, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r["time"], r["speaker"], r["observed"], r["correct"]) for r in catalog.QUERIES["transcript_alignment"](spark, str(tmp_path)).collect()}
     assert got == {("1", "user", "a" * 300 + "ee", "a" * 300 + "e"), ("1", "assistant", "", ""), ("2", "user", "short ee", "short e")}
+
+
+def same(df, con, sql):
+    """Rows of the SQL; their number first, as a long list of differences takes long."""
+    assert df.count() == con.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0]
+    assert compare.differences(df, con, sql) == ""
+
+
+def test_edges_that_no_rule_matches_stay(spark, sf_dir):
+    sql = catalog.ORACLE_SQL["mwe_fixpoint"].replace(f" WHERE lower(orth) IN {lattice_queries._LITS}", "")
+    same(catalog.QUERIES["mwe_fixpoint"](spark, sf_dir), compare.duck(sf_dir), sql)
