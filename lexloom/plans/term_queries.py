@@ -76,7 +76,7 @@ def text_slices(spark, sf_dir):
     from lexloom.functions import tokens
 
     pars = tokens.paragraphs(docs(spark, sf_dir).select("doc_id", "text"))
-    return G.slices(pars, edges(spark, sf_dir).filter("orth = 'the'"), ["doc_id", "par_id"]).select("doc_id", "par_id", "tok", "slice")
+    return G.slices(pars, edges(spark, sf_dir), ["doc_id", "par_id"]).select("doc_id", "par_id", "tok", "slice")
 
 
 # --- terms and graphs ------------------------------------------------------------------
@@ -177,8 +177,8 @@ def phonetic_round_trip(spark, sf_dir):
 
 @query(EDGES + "SELECT doc_id, par_id, tok, concat_ws(chr(9), tok::VARCHAR, orth, '_', '_', '_', beg::VARCHAR, len::VARCHAR) AS line FROM edges WHERE par_id = 1 AND tok <= 3")
 def conll_lines(spark, sf_dir):
-    """K2: the first tokens of each text (a heading report)."""
-    return sinks.conll(edges(spark, sf_dir), ["doc_id", "par_id"]).filter("par_id = 1 and tok <= 3")
+    """K2: all tokens."""
+    return sinks.conll(edges(spark, sf_dir), ["doc_id", "par_id"])
 
 
 @query("SELECT c_custkey, '<customer c_name=\"' || c_name || '\" c_mktsegment=\"' || replace(c_mktsegment, '&', '&amp;') || '\"/>' AS xml FROM customer")

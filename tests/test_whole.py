@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import compare
+import pytest
 
 from lexloom.operators import fuzzy
 from lexloom.plans import catalog, lattice_queries
@@ -59,3 +60,8 @@ def same(df, con, sql):
 def test_edges_that_no_rule_matches_stay(spark, sf_dir):
     sql = catalog.ORACLE_SQL["mwe_fixpoint"].replace(f" WHERE lower(orth) IN {lattice_queries._LITS}", "")
     same(catalog.QUERIES["mwe_fixpoint"](spark, sf_dir), compare.duck(sf_dir), sql)
+
+
+@pytest.mark.parametrize("name, narrow", [("conll_lines", " WHERE par_id = 1 AND tok <= 3"), ("text_slices", " WHERE orth = 'the'")])
+def test_all_tokens_are_listed(spark, sf_dir, name, narrow):
+    same(catalog.QUERIES[name](spark, sf_dir), compare.duck(sf_dir), catalog.ORACLE_SQL[name].replace(narrow, ""))
