@@ -65,3 +65,18 @@ def test_edges_that_no_rule_matches_stay(spark, sf_dir):
 @pytest.mark.parametrize("name, narrow", [("conll_lines", " WHERE par_id = 1 AND tok <= 3"), ("text_slices", " WHERE orth = 'the'")])
 def test_all_tokens_are_listed(spark, sf_dir, name, narrow):
     same(catalog.QUERIES[name](spark, sf_dir), compare.duck(sf_dir), catalog.ORACLE_SQL[name].replace(narrow, ""))
+
+
+def test_cover_takes_the_longest_edge_and_jumps_over_it(spark, sf_dir):
+    edges = defaultdict(list)
+    for par, *edge in compare.duck(sf_dir).execute(lattice_queries.LATTICE + "SELECT par, beg, nxt, orth FROM lat").fetchall():
+        edges[par].append(edge)
+    want = []
+    for par, own in edges.items():
+        at = 0
+        while left := [e for e in own if e[0] >= at]:
+            beg = min(e[0] for e in left)
+            at = max(e[1] for e in left if e[0] == beg)
+            want.append((par, beg, at, min(e[2] for e in left if e[:2] == [beg, at])))
+    assert any(nxt > beg + 1 for _, beg, nxt, _ in want)
+    assert sorted(map(tuple, catalog.QUERIES["greedy_cover"](spark, sf_dir).select("par", "beg", "nxt", "orth").collect())) == sorted(want)
