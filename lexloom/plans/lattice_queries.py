@@ -321,7 +321,7 @@ def subcorpus_select_move(spark, sf_dir):
 @query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'es')")
 def sentence_dump(spark, sf_dir):
     """Sorted on output."""
-    return docs(spark, sf_dir).filter("lang = 'es'").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).orderBy("line")
+    return docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).orderBy("line")
 
 
 # --- edit distance --------------------------------------------------------------------
@@ -373,6 +373,7 @@ def vocabulary(spark, sf_dir):
 
 @query(f"SELECT doc_id, par_id, md5(replace(replace(replace(substr(paragraph, 1, 5), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '<span class=\"HEAD\">' || replace(replace(replace(substr(paragraph, 6, 5), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>' || replace(replace(replace(substr(paragraph, 11), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS html FROM ({PARS}) WHERE length(paragraph) > 10")
 def marked_html(spark, sf_dir):
-    """K6."""
-    spans = F.array(F.struct(F.lit(5).alias("from_"), F.lit(10).alias("to_"), F.lit("HEAD").alias("cat")))
-    return _pars(spark, sf_dir).filter("length(paragraph) > 10").select("doc_id", "par_id", F.md5(C.marked_html(F.col("paragraph"), spans)).alias("html"))
+    """K6: the span ends with a shorter paragraph, and is absent where it would be empty."""
+    spans = F.array(F.struct(F.lit(5).alias("from_"), F.least(F.lit(10), F.length("paragraph")).alias("to_"), F.lit("HEAD").alias("cat")))
+    spans = F.filter(spans, lambda s: s["from_"] < s["to_"])
+    return _pars(spark, sf_dir).select("doc_id", "par_id", F.md5(C.marked_html(F.col("paragraph"), spans)).alias("html"))

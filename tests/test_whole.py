@@ -2,6 +2,8 @@
 
 import random
 from collections import Counter, defaultdict
+from hashlib import md5
+from html import escape
 from itertools import product
 
 import compare
@@ -9,6 +11,7 @@ import pytest
 
 from lexloom.operators import fuzzy
 from lexloom.plans import catalog, lattice_queries
+from lexloom.plans.text_queries import PARS
 
 
 def places(con):
@@ -80,3 +83,18 @@ def test_cover_takes_the_longest_edge_and_jumps_over_it(spark, sf_dir):
             want.append((par, beg, at, min(e[2] for e in left if e[:2] == [beg, at])))
     assert any(nxt > beg + 1 for _, beg, nxt, _ in want)
     assert sorted(map(tuple, catalog.QUERIES["greedy_cover"](spark, sf_dir).select("par", "beg", "nxt", "orth").collect())) == sorted(want)
+
+
+def test_documents_of_every_language_are_dumped(spark, sf_dir):
+    same(catalog.QUERIES["sentence_dump"](spark, sf_dir), compare.duck(sf_dir), catalog.ORACLE_SQL["sentence_dump"].replace(" WHERE lang = 'es'", ""))
+
+
+def test_short_paragraphs_are_marked(spark, sf_dir, tmp_path):
+    spark.createDataFrame([(-1, "a&\nabcde\nabcdef\nabcd<fghi&\nabcdefghij<")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for at in (str(tmp_path), sf_dir):
+        want = set()
+        for doc, par, text in compare.duck(at).execute(f"SELECT doc_id, par_id, paragraph FROM ({PARS})").fetchall() if at == sf_dir else [(-1, i, t) for i, t in enumerate(["a&", "abcde", "abcdef", "abcd<fghi&", "abcdefghij<"], 1)]:
+            head, span, rest = (escape(x, quote=False) for x in (text[:5], text[5:10], text[10:]))
+            html = f'{head}<span class="HEAD">{span}</span>{rest}' if span else head
+            want.add((doc, par, md5(html.encode()).hexdigest()))
+        assert {tuple(r) for r in catalog.QUERIES["marked_html"](spark, at).collect()} == want
