@@ -1,4 +1,4 @@
-"""Chart parsing with a categorial grammar: a sentence's chart per key.
+"""Chart parsing with a categorial grammar: a sentence's chart per key.
 
 A category is a string: an atom (``np``, ``np{nom}`` with features), ``X/Y`` (wants a Y to
 the right) or ``X\\Y`` (to the left), brackets as needed. Features are sets of values; two
@@ -225,7 +225,7 @@ def _parse(c: Columns, keys: list[str], root: Cat, max_cost: int, timeout: float
 
 
 def parse(tokens: DataFrame, keys: list[str], root: str = "s", max_cost: int = MAX_COST, timeout: float = TIMEOUT, pro: dict[str, str] | None = None) -> DataFrame:
-    """One row per sentence: status, least cost, trees and one of them.
+    """One row per sentence: status, least cost, trees and one of them.
 
     tokens: keys, lnode, rnode (0-based, dense), orth, category (null: no entry); parallel rows are ambiguity.
     """

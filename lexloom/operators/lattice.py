@@ -1,4 +1,4 @@
-"""Lattice operators: a lattice is a table of edges (key..., beg, nxt) of one paragraph.
+"""Lattice operators: a lattice is a table of edges (key..., beg, nxt) of one paragraph.
 
 Windows and groups are keyed by paragraph; a paragraph comes from one row of text, so its
 edges are bounded by that. The path programs below need order within a paragraph and run

@@ -29,7 +29,7 @@ def _sentences(spark, sf_dir):
 
 @query()
 def chart_parse(spark, sf_dir):
-    """Every order's lines as a sentence of a toy grammar."""
+    """Every order's lines as a sentence of a toy grammar."""
     entries = C.lexical_entries(_sentences(spark, sf_dir), values(spark, _LEXICON, "lemma string, pos string, category string"))
     return C.parse(entries, ["l_orderkey"], "s", max_cost=1)
 
