@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where the session names none (a laptop, tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none a local folder is set, but only for a local master (a laptop,
+    tests); on a cluster that would lose data, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file:///tmp/checkpoints/lexloom"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
