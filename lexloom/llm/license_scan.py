@@ -16,9 +16,9 @@ gives an empty one.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right, insort
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -74,26 +74,34 @@ def detect(line: bytes) -> list[tuple[int, int, str, int]]:
 def suppress(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
     """Drop what lies within a detection that is before it in the order of priority, length, start.
 
-    A GENERIC one also yields to any better one that it overlaps. Kept spans don't contain each other, so in the order of starts their ends rise and the
-    span that may contain a new one is the last kept before or at its start.
+    A GENERIC one also yields to any better one that it overlaps. Priorities are taken from the
+    highest down, the spans of each all at once: sorted by start, a span lies within an earlier
+    one if some end so far is not before its own. Linear but for the sorts.
     """
-    kept: list[tuple[int, int]] = []
-    out = []
-    for start, end, label, priority in sorted(found, key=lambda x: (-x[3], x[0] - x[1], x[0], x[2])):
-        at = bisect_right(kept, (start, float("inf")))
-        if at and kept[at - 1][1] >= end:
-            continue
-        first = bisect_right(kept, (start,))
-        inner = first
-        while inner < len(kept) and kept[inner][1] <= end:
-            inner += 1
-        overlaps = at and kept[at - 1][1] > start or first < len(kept) and kept[first][0] < end
-        if overlaps and priority <= GENERIC:
-            continue
-        del kept[first:inner]  # the wider span stands for those inside it from here on
-        insort(kept, (start, end))
-        out.append((start, end, label, priority))
-    return sorted(out)
+    if not found:
+        return []
+    start, end, priority = (np.array([x[i] for x in found], np.int64) for i in (0, 1, 3))
+    label = np.array([x[2] for x in found])
+    taken = bytearray(int(end.max()))  # bytes that kept spans cover
+    kept = np.zeros(0, np.int64)
+    for p in sorted(set(priority.tolist()), reverse=True):
+        own = np.flatnonzero(priority == p)
+        if p <= GENERIC:  # one after the other: whether one stays hangs on those that stayed
+            new = []
+            for i in own[np.lexsort((label[own], start[own], start[own] - end[own]))].tolist():
+                if taken.find(1, start[i], end[i]) < 0:
+                    taken[start[i] : end[i]] = b"\1" * int(end[i] - start[i])
+                    new.append(i)
+        else:
+            both = np.concatenate([kept, own])
+            # At one place those of higher priority and longer ones come first, then by label.
+            both = both[np.lexsort((label[both], -priority[both], -end[both], start[both]))]
+            before = np.concatenate([[0], np.maximum.accumulate(end[both])[:-1]])
+            new = both[(before < end[both]) & (priority[both] == p)]
+            for a, b in zip(start[new].tolist(), end[new].tolist()):
+                taken[a:b] = b"\1" * (b - a)
+        kept = np.concatenate([kept, np.array(new, np.int64)])
+    return sorted(found[i] for i in kept.tolist())
 
 
 def base_places(line: bytes) -> list[tuple[int, str]]:
@@ -108,16 +116,24 @@ def base_places(line: bytes) -> list[tuple[int, str]]:
     return sorted(found)
 
 
-def scan(text: str | None) -> tuple:
+def word_numbers(line: bytes, places: list[int]) -> list[int]:
+    """The number of the word that starts, or ends, at each place; one pass over the line."""
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    return (np.searchsorted(spaces, places) - 1).tolist()
+
+
+def scan(text: str | None, with_spans: bool = True) -> tuple:
     """The columns of SCHEMA, then the spans (label, priority, first word, last word)."""
     n, line = flat(text)
     places, found = base_places(line), detect(line)
-    count = lambda at: line.count(b" ", 0, at) - 1
     base = sorted({label for _, label in places})
     labels = sorted({*base, *(x[2] for x in found)})
     score = 1.0 if places else max((x[3] for x in found), default=0) / 100
-    first, last = (count(places[0][0]), count(places[-1][0])) if places else (None, None)
-    spans = [{"label": x[2], "priority": x[3], "first_word": count(x[0]), "last_word": count(x[1])} for x in found]
+    first, last = word_numbers(line, [places[0][0], places[-1][0]]) if places else (None, None)
+    spans = []
+    if with_spans and found:
+        numbers = word_numbers(line, [at for x in found for at in x[:2]])
+        spans = [{"label": x[2], "priority": x[3], "first_word": a, "last_word": b} for x, a, b in zip(found, numbers[::2], numbers[1::2])]
     return n, len(places), first, last, ",".join(base), ",".join(labels), score, spans
 
 
@@ -127,7 +143,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for keys, texts in text_batches(batches, "key", "text"):
-            columns = list(zip(*map(scan, texts)))
+            columns = list(zip(*(scan(t, spans) for t in texts)))
             arrays = [pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, TYPES))]
             names = [id_col, *FIELDS]
             if spans:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from common_docs import no_docs, odd_docs, odd_rows, prose
 
@@ -73,6 +74,18 @@ def test_suppression_is_that_of_brute_force():
         assert S.suppress(rows) == brute_suppress(rows)
 
 
+def test_long_texts_take_linear_time():
+    began = time.process_time()
+    got = S.scan("mit license " * 200_000)
+    assert got[5] == "mit" and got[7][0]["first_word"] == 0 and got[7][-1]["last_word"] == got[0] - 1 == 399_999
+    long = "under the mit license " * 100_000
+    assert S.scan(long, False)[:4] == (400_000, 100_000, 0, 399_996)
+    spin = time.process_time()
+    sum(range(3_000_000))
+    spin = time.process_time() - spin  # 0.06 s on a usual machine
+    assert time.process_time() - began < 10 * max(1, spin / 0.06)
+
+
 def test_hundreds_of_rules_and_what_they_find():
     assert len(S.rules()) >= 200 and len(RULES.strip().splitlines()) == len(S.rules())
     labels = lambda t: S.scan(t)[5].split(",")
