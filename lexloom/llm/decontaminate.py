@@ -6,17 +6,20 @@ stays whole in any place within k edits, so exact hits of pieces (one Aho-Corasi
 over the text) give all candidate places, and Myers' bit-parallel distance, with words as
 symbols, verifies each. Candidate windows of one item that overlap are verified as one.
 
-The items are taken in blocks of at most BLOCK_CHARS characters, one scan of the documents
-for each block, so what goes to the executors is bounded whatever the benchmark's size.
+The items are taken in blocks of at most BLOCK_CHARS characters (or one longer item), one
+scan of the documents for each block. A block is a file in the shared folder; the driver
+holds one at a time, plans hold their paths, so what goes to the executors is bounded
+whatever the benchmark's size.
 
-Items of fewer than MIN_ITEM_WORDS words (null and empty ones too) match nothing; repeated
-items count once. Null and empty documents are clean. Repeated documents are judged one by
+Items of fewer than 1 / MAX_ERROR_RATE words have no budget and match whole and exactly.
+Items without a word (null, empty) match nothing; repeated items count once. Null and empty documents are clean. Repeated documents are judged one by
 one. Other columns are ignored by ``leaks`` and kept by ``clean``. Empty tables: ``leaks``
 is empty, ``clean`` returns the documents.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import text_batches
+from lexloom.llm.common import fresh_dir, open_fs, put_file, text_batches
 
 MAX_ERROR_RATE = 0.2
-MIN_ITEM_WORDS = 5
 BLOCK_CHARS = 8_000_000
 LEAK_SCHEMA = "{id} long, item_id long, distance long, item_words long, first_word long, last_word long"
 _GAPS = re.compile(r"[\W_]+")
@@ -79,7 +81,7 @@ class Searcher:
         places: defaultdict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in dict.fromkeys(items):
             words = normal(text).split()
-            if len(words) < MIN_ITEM_WORDS:
+            if not words:
                 continue
             budget = int(MAX_ERROR_RATE * len(words) + 1e-9)
             for offset, part in pieces(words, budget):
@@ -138,21 +140,32 @@ def _windows(starts: list[int], n: int, budget: int) -> Iterator[tuple[int, int]
 
 
 @lru_cache(maxsize=2)
-def searcher(items: tuple[tuple[int | None, str], ...]) -> Searcher:
-    return Searcher(items)
+def searcher(path: str) -> Searcher:
+    filesystem, local = open_fs(path)
+    with filesystem.open_input_file(local) as stream:
+        return Searcher(tuple(map(tuple, json.loads(stream.read()))))
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[tuple[int | None, str], ...]]:
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[str]:
+    """Files of the benchmark's items, a block in each."""
+    folder = fresh_dir(benchmark.sparkSession, "benchmark")
+    paths: list[str] = []
     block, size = [], 0
+
+    def put() -> None:
+        data = json.dumps(block).encode()
+        paths.append(put_file(folder, f"block-{len(paths):06d}.json", lambda out: out.write(data)))
+
     rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).filter(F.col(text_col).isNotNull()).distinct()
     for item_id, text in rows.toLocalIterator():
         if block and size + len(text) > BLOCK_CHARS:
-            yield tuple(block)
+            put()
             block, size = [], 0
         block.append((item_id, text))
         size += len(text)
     if block:
-        yield tuple(block)
+        put()
+    return paths
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
