@@ -78,3 +78,14 @@ def test_odd_rows(spark):
     assert L.learn_and_predict(no_docs(spark)).count() == 0
     nothing = odd_docs(spark).selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r["lang_pred"] for r in L.learn_and_predict(nothing).collect()} == {"und"}
+
+
+def test_the_sample_is_bounded_at_any_count(spark, monkeypatch):
+    for count in (1, 10**3, 10**9, 10**13):
+        reached = (L.hash_limit(300, count) + 1) / 2**63 * count
+        assert reached <= min(count, 1.3 * 300 + 11) + 1e-6
+    monkeypatch.setattr(L, "SAMPLE_PER_LANG", 5)
+    # A third of the rows is one row again and again; it counts once.
+    rows = [(i, f"some words {i} of a text") for i in range(400)] + [(1, "the very same text")] * 200
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    assert len(L.training_sample(docs)) == 5
