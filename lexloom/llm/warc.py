@@ -10,7 +10,8 @@ A null payload is empty. Repeated rows of a response's id are all responses. A r
 null id is a response if no page of its payload has an id. A null url is written as
 ``about:blank``; control characters and spaces of urls are percent-encoded in the archive.
 Other columns are ignored. An empty table writes nothing and gives an empty result. A task
-names its own file and reports it in the index, so repeated or lost tasks do no harm.
+names its own files, closes each after ARCHIVE_BYTES bytes and reports them in the index, so
+repeated or lost tasks do no harm and neither a file nor its index grows with the task.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import fresh_dir, open_fs, put_file, written
 
 FRAME_BYTES = 1 << 20
+#: Bytes of records after which an archive is closed and the task begins another.
+ARCHIVE_BYTES = 1 << 29
 LEVEL = 6
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX_SCHEMA = "page_id long, path string, frame int, offset int, length int"
@@ -98,7 +101,7 @@ class Bundle:
     """Writes records into frames of a seekable file."""
 
     def __init__(self, out):
-        self.out, self.held, self.size, self.table = out, [], 0, []
+        self.out, self.held, self.size, self.table, self.total = out, [], 0, [], 0
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
 
     def add(self, data: bytes) -> tuple[int, int, int]:
@@ -108,6 +111,7 @@ class Bundle:
         place = len(self.table), self.size, len(data)
         self.held.append(data)
         self.size += len(data)
+        self.total += len(data)
         return place
 
     def flush(self) -> None:
@@ -167,26 +171,25 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     rows = joined.select("page_id", "url", "payload", F.when(again, F.col("first")).alias("refers_to"))
 
     def run(batches):
-        start = next((b for b in batches if b.num_rows), None)
-        if start is None:
-            return
-        name, index = f"pages-{uuid.uuid4().hex}.warc.zst", []
-
-        def fill(out):
-            bundle = Bundle(out)
-            batch = start
-            while batch is not None:
-                for i in range(batch.num_rows):
-                    key, url, data, refers = (batch[c][i].as_py() for c in ("page_id", "url", "payload", "refers_to"))
+        held = ((batch, i) for batch in batches for i in range(batch.num_rows))
+        row = next(held, None)
+        while row is not None:  # one archive more
+            index = []
+
+            def fill(out):
+                nonlocal row
+                bundle = Bundle(out)
+                while row is not None and bundle.total < ARCHIVE_BYTES:
+                    key, url, data, refers = (row[0][c][row[1]].as_py() for c in ("page_id", "url", "payload", "refers_to"))
                     index.append((key, *bundle.add(record(key, url, data, refers, date))))
-                batch = next(batches, None)
-            bundle.close()
+                    row = next(held, None)
+                bundle.close()
 
-        path = put_file(folder, name, fill)
-        for at in range(0, len(index), 10_000):
-            columns = [list(c) for c in zip(*index[at : at + 10_000])]
-            arrays = [pa.array(columns[0], pa.int64()), pa.array([path] * len(columns[0])), *(pa.array(c, pa.int32()) for c in columns[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "path", "frame", "offset", "length"])
+            path = put_file(folder, f"pages-{uuid.uuid4().hex}.warc.zst", fill)
+            for at in range(0, len(index), 10_000):
+                columns = [list(c) for c in zip(*index[at : at + 10_000])]
+                arrays = [pa.array(columns[0], pa.int64()), pa.array([path] * len(columns[0])), *(pa.array(c, pa.int32()) for c in columns[1:])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "path", "frame", "offset", "length"])
 
     return written(rows.mapInArrow(run, INDEX_SCHEMA), "warc-index")
 
@@ -211,7 +214,7 @@ def read_archives(spark: SparkSession, paths: list[str], with_payload: bool = Fa
                             found.append(one)
                         yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], t) for n, t in zip(names, types)], names=names)
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartitionByRange(len(paths), "path")
     return files.mapInArrow(run, schema)
 
 
