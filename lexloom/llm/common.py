@@ -7,37 +7,18 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from lexloom.sources.scratch import shared_dir, written  # noqa: F401
 
 #: Characters of text that a Python stage holds decoded at once, besides one document.
 BATCH_CHARS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) a local one is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/checkpoints/lexloom"
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/lexloom-{kind}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """Write to a table in the shared folder and read it back; cuts the lineage."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so long texts don't pile up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -35,6 +35,8 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 HISTOGRAM_BITS = 14
+#: Bits by which dense prefixes are counted further down.
+DEEPER_BITS = 10
 #: The trie is cut into about LEAVES leaves, into more where a leaf would pass LEAF_KEYS keys.
 LEAVES = 64
 LEAF_KEYS = 1 << 18
@@ -147,33 +149,62 @@ def _walk(keys: np.ndarray, split: int, bits: int) -> np.ndarray:
     return parent
 
 
-def _leaves(histogram: list[tuple[int, int]], target: int) -> list[tuple[int, int]]:
-    """Trie leaves (prefix, depth) that hold at most ``target`` keys each, or have full depth."""
-    found = []
+def _leaves(histogram: list[tuple[int, int]], target: int, top: int = 0, above: int = 0, bits: int = HISTOGRAM_BITS) -> tuple[list[tuple[int, int]], list[int]]:
+    """Trie leaves (prefix, depth) of at most ``target`` keys, and prefixes at the full depth that hold more.
+
+    histogram: (prefix of ``bits`` bits, keys), sorted, all below the prefix ``top`` of depth ``above``.
+    """
+    found, dense = [], []
 
     def cut(prefix: int, depth: int, rows: list[tuple[int, int]]) -> None:
-        if sum(n for _, n in rows) <= target or depth == HISTOGRAM_BITS:
+        if sum(n for _, n in rows) <= target:
             found.append((prefix, depth))
-            return
-        bit = HISTOGRAM_BITS - 1 - depth
-        for side in (0, 1):
-            part = [r for r in rows if (r[0] >> bit & 1) == side]
-            if part:
-                cut(2 * prefix + side, depth + 1, part)
+        elif depth == bits:
+            dense.append(prefix)
+        else:
+            bit = bits - 1 - depth
+            for side in (0, 1):
+                part = [r for r in rows if (r[0] >> bit & 1) == side]
+                if part:
+                    cut(2 * prefix + side, depth + 1, part)
 
     if histogram:
-        cut(0, 0, histogram)
-    return found
+        cut(top, above, histogram)
+    return found, dense
+
+
+def _all_leaves(keys: DataFrame) -> list[tuple[int, int]]:
+    """The leaves of the whole trie in order; prefixes that stay dense are counted further down."""
+    spark, bits = keys.sparkSession, HISTOGRAM_BITS
+    prefix = F.shiftrightunsigned("fp", 64 - bits)
+    histogram = sorted((int(r[0]), int(r[1])) for r in keys.groupBy(prefix.alias("p")).count().collect())  # at most 2**HISTOGRAM_BITS rows
+    target = max(LEAST_KEYS, min(sum(n for _, n in histogram) // LEAVES, LEAF_KEYS))
+    leaves, dense = _leaves(histogram, target)
+    while dense and bits < 64:
+        # Each dense prefix holds over ``target`` keys, so there are few; the join is bounded by that.
+        step = min(DEEPER_BITS, 64 - bits)
+        within = F.broadcast(spark.createDataFrame([(p,) for p in dense], "top long"))
+        part = keys.select(F.shiftrightunsigned("fp", 64 - bits).alias("top"), F.shiftrightunsigned("fp", 64 - bits - step).alias("p")).join(within, "top")
+        below: dict[int, list[tuple[int, int]]] = {}
+        for top, p, n in part.groupBy("top", "p").count().collect():
+            below.setdefault(int(top), []).append((int(p) & (1 << bits + step) - 1, int(n)))
+        dense = []
+        for top, rows in below.items():
+            found, more = _leaves(sorted(rows), target, top, bits, bits + step)
+            leaves += found
+            dense += more
+        bits += step
+    return sorted(leaves, key=lambda x: x[0] << 64 - x[1])
 
 
 def _leaf_pairs(leaves: list[tuple[int, int]], bits: int) -> list[tuple[int, int]]:
     """Pairs of leaves whose prefixes differ in at most ``bits`` of their common length."""
-    low = np.array([p << (HISTOGRAM_BITS - d) for p, d in leaves])
-    depth = np.array([d for _, d in leaves])
+    low = np.array([p << 64 - d if d else 0 for p, d in leaves], np.uint64)
+    # A shift by 64 would leave a number as it is; two leaves of depth 0 can't be.
+    drop = np.array([min(63, 64 - d) for _, d in leaves], np.uint64)
     pairs = []
     for i in range(len(leaves)):
-        shared = np.minimum(depth[i], depth[i:])
-        differ = np.bitwise_count((low[i] ^ low[i:]) >> (HISTOGRAM_BITS - shared))
+        differ = np.bitwise_count((low[i] ^ low[i:]) >> np.maximum(drop[i], drop[i:]))
         pairs += [(i, i + int(j)) for j in np.flatnonzero(differ <= bits)]
     return pairs
 
@@ -181,10 +212,7 @@ def _leaf_pairs(leaves: list[tuple[int, int]], bits: int) -> list[tuple[int, int
 def linked(keys: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(fp, root) for keys that link to a smaller one within a leaf pair; keys: distinct ``fp``."""
     spark = keys.sparkSession
-    prefix = F.shiftrightunsigned("fp", 64 - HISTOGRAM_BITS)
-    histogram = [(int(r[0]), int(r[1])) for r in keys.groupBy(prefix.alias("p")).count().collect()]  # at most 2**HISTOGRAM_BITS rows
-    total = sum(n for _, n in histogram)
-    leaves = _leaves(sorted(histogram), max(LEAST_KEYS, min(total // LEAVES, LEAF_KEYS)))
+    leaves = _all_leaves(keys)
     pairs = _leaf_pairs(leaves, bits) if leaves else []
     lows = np.array([p << (64 - d) if d else 0 for p, d in leaves], np.uint64)
     of: list[list[tuple[int, int]]] = [[] for _ in leaves]

@@ -97,3 +97,31 @@ def test_chain_is_joined_across_many_leaves(spark):
     keys = [(1 << i) - 1 for i in range(0, 63, 2)]
     roots = S.components(S.linked(spark.createDataFrame([(k,) for k in keys], "fp long"))).collect()
     assert len({r["root"] for r in roots}) == 1 and len(roots) == len(keys) - 1
+
+
+def test_dense_prefixes_are_cut_further_down(spark, monkeypatch):
+    """Keys that share their first 20 bits are dealt to several leaves and none of their links is lost."""
+    monkeypatch.setattr(S, "LEAST_KEYS", 40)
+    monkeypatch.setattr(S, "LEAF_KEYS", 40)
+    rng = random.Random(3)
+    keys = sorted({0xABCDE << 44 | rng.getrandbits(44) & 0xFFF000FF for _ in range(900)} | {rng.getrandbits(63) for _ in range(50)})
+    frame = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "fp long")
+    leaves = S._all_leaves(frame)
+    spans = [(p << 64 - d, (p + 1) << 64 - d) for p, d in leaves]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert max(sum(a <= k < b for k in keys) for a, b in spans) <= 40 and all(any(a <= k < b for a, b in spans) for k in keys)
+    got = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in S.components(S.linked(frame)).collect()}
+    root = {k: k for k in keys}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if (a ^ b).bit_count() <= S.MAX_BITS:
+                x, y = sorted((find(a), find(b)), key=signed)
+                root[y] = x
+    assert {k: got.get(k, k) for k in keys} == {k: find(k) for k in keys}
