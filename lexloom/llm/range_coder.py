@@ -1,15 +1,23 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
-A group of ids is cut into blocks of BLOCK ids. Each block starts from fresh adaptive
-state, so it can be decoded alone (with its group's order-0 table) and has a CRC-32 of its
-ids. Per id three predictions are mixed into one interval of a 64-bit carry-less range coder:
+A group of ids is cut into blocks of BLOCK ids. Every block starts from the same state: the
+group's starting table (``start_table``: the group's ids in order of frequency, with 16-bit
+frequencies), empty contexts and fixed weights. Nothing passes from block to block, so any
+block decodes alone from the table and its own words; each has a CRC-32 of its ids.
 
-* order 2: the id last seen after the two ids before, trusted as often as it was right at
-  its present confidence (adaptive 12-bit probabilities, one for each confidence);
-* order 1: likewise after one id, for what order 2 leaves;
-* order 0: the group's frequencies (16-bit), for what both leave.
+Three adaptive predictions are mixed for each id:
 
-numpy runs all blocks of a group in step, one id of each block at a time.
+* order 2: the id last seen after the two before (slot found by hash, with a tag);
+* order 1: the two leading ids after the one before, by their counts;
+* order 0: starting frequencies plus the block's own counts, these weighted so that they
+  lead after START_IDS ids. Counts grow with each id; the cumulative table that coding
+  needs is made anew at the places of REBUILD.
+
+Weights belong to the confidence of the contexts (STATES states a block) and follow each
+prediction's share in the mixed probability of the id that came. The ids that the contexts
+name have intervals of mixed mass of their own in a 64-bit carry-less range coder; the rest
+of the range is order 0's. numpy runs all blocks of a group in step, one id of each at a time.
+Weights are single floats, each operation rounded by itself, so both directions agree.
 """
 
 from __future__ import annotations
@@ -18,66 +26,173 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1024
-#: Blocks in step, so a group has at most BLOCK * LANES ids; many short arrays' worth of work in each numpy call.
+BLOCK = 4096
+#: Blocks in step; fewer with a wide alphabet (``max_lanes``).
 LANES = 4096
-SLOTS_BITS = 9
-CONFIDENCE = 16
-ONE = 1 << 12
+#: Bytes of adaptive state in step.
+STATE_BYTES = 160_000_000
+SLOTS_BITS = 11
+#: Ranks between entries of the coarse cumulative table.
+SEGMENT = 64
+#: Sum of the starting frequencies, and the weight of one id of the block.
+TOTAL, START_IDS = 1 << 16, 512
+STEP = TOTAL // START_IDS
+REBUILD = frozenset((32, 80, 160, 320, 640, 1200, 2200))
+STATES = 64
+RATE = np.float32(0.02)
+#: Mass of all intervals, and what of it order 0 keeps whatever the weights.
+ONE, FLOOR = 1 << 16, 1 << 10
 _U = np.uint64
 _TOP, _BOT, _LOW32 = _U(1 << 48), _U(1 << 32), _U((1 << 32) - 1)
-_16, _12, _48 = _U(16), _U(12), _U(48)
+_16, _48 = _U(16), _U(48)
+
+
+def _count_states():
+    """Order 1 keeps the counts (a, b) of its two ids as the number 16 * a + b, a >= b.
+
+    For each: shares of the two, confidence (0 to 15), what follows when neither, the first
+    or the second came (in a slot's upper half), and whether the two change places then.
+    """
+    shares, trust = np.zeros(256, np.complex64), np.zeros(256, np.uint32)
+    after, swap = np.zeros(768, np.uint64), np.zeros(768, np.uint32)
+    for a in range(16):
+        for b in range(16):
+            at, n = 16 * a + b, a + b
+            if n:
+                shares[at] = complex(a / n, b / n)
+                trust[at] = 1 + min(4, a * 4 // n) + 5 * ((n > 1) + (n > 4))
+            for came in range(3):
+                x, y = (a - a // 4, 1) if came == 0 else (a + 1, b) if came == 1 else (a, b + 1)
+                if max(x, y) > 15:
+                    x, y = (x + 1) // 2, (y + 1) // 2
+                swap[256 * came + at] = y > x
+                after[256 * came + at] = 16 * max(x, y) + min(x, y) << 32
+    return shares, np.minimum(trust, np.uint32(15)), after, swap
+
 
+_SHARES, _TRUST, _AFTER, _SWAP = _count_states()
+#: Starting weights of orders 2 and 1 by state: 16 * (times order 2 was right, to 3) + trust.
+_WEIGHTS = np.array([complex((0, 0.15, 0.5, 0.75)[s], (0.6, 0.5, 0.3, 0.15)[s] * (t > 0) * (t + 1) / 16) for s in range(4) for t in range(16)], np.complex64)
+#: Order 0 keeps some weight even where the others have all.
+_OVER = np.float32(1 + FLOOR / ONE)
+_SCALE, _KEEP = np.float32(ONE - FLOOR), np.float32(1) - RATE
+_K3, _K4, _K8, _K16, _K_LOW = (np.uint32(x) for x in (3, 4, 8, 16, 0xFFFF))
+_K_LAST, _K_BEFORE, _K_SPREAD = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0x2C1B3C6D))
+_K_SLOT, _K_SLOTS, _K_TAG, _K_TAGS = (np.uint32(x) for x in (32 - SLOTS_BITS, (1 << SLOTS_BITS) - 1, 4, 0xFFF0))
+_K_ONCE, _K_TIMES, _K_STEP = (np.uint32(x) for x in (1 << 16, 7 << 16, STEP))
+_U32, _ONCE16 = np.uint64(32), np.uint16(1)
 
-def order0(ids: np.ndarray) -> np.ndarray:
-    """Frequencies of all 2**16 ids that sum to 2**16; every id that occurs has one at least."""
+
+def start_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, the most frequent first, and frequencies, one at least, of sum TOTAL."""
     count = np.bincount(ids, minlength=1 << 16).astype(np.int64)
-    there = count > 0
-    spare = (1 << 16) - int(there.sum())
-    freq = np.where(there, 1 + count * spare // max(1, len(ids)), 0)
-    freq[np.argmax(count)] += (1 << 16) - int(freq.sum())
-    return freq
+    order = np.argsort(-count, kind="stable")[: int((count > 0).sum())]
+    freq = 1 + count[order] * (TOTAL - len(order)) // max(1, len(ids))
+    freq[0] += TOTAL - int(freq.sum())
+    return order.astype(np.uint16), freq
+
+
+def max_lanes(alphabet: int) -> int:
+    return max(1, min(LANES, STATE_BYTES // (6 * alphabet + (12 << SLOTS_BITS) + 8 * STATES)))
 
 
 class _Model:
-    """The adaptive state of ``lanes`` blocks; both directions drive it alike."""
-
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) << SLOTS_BITS
-        self.conf_base = np.arange(lanes, dtype=np.int64) * CONFIDENCE
-        self.two = np.zeros(lanes << SLOTS_BITS, np.uint32)
-        self.one = np.zeros(lanes << SLOTS_BITS, np.uint32)
-        start = (np.arange(CONFIDENCE) * 3600 // CONFIDENCE + 200).astype(np.int64)
-        self.p_two, self.p_one = np.tile(start, lanes), np.tile(start, lanes)
-        self.last = np.zeros(lanes, np.uint32)
-        self.before = np.zeros(lanes, np.uint32)
-
-    def predict(self, n: int):
-        """Candidates of order 2 and 1 and their shares of ONE, for the first n lanes."""
-        last = self.last[:n]
-        self.at_two = self.base[:n] + ((last * np.uint32(0x9E3779B1) + self.before[:n] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOTS_BITS))
-        self.at_one = self.base[:n] + ((last * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOTS_BITS))
-        self.e_two, self.e_one = self.two[self.at_two], self.one[self.at_one]
-        self.c_two, self.c_one = self.e_two & np.uint32(0xFFFF), self.e_one & np.uint32(0xFFFF)
-        self.s_two = self.conf_base[:n] + (self.e_two >> np.uint32(16))
-        self.s_one = self.conf_base[:n] + (self.e_one >> np.uint32(16))
-        self.m_two, self.q_one = self.p_two[self.s_two], self.p_one[self.s_one]
-        m_one = ((ONE - self.m_two) * self.q_one) >> 12
-        m_one[(m_one == 0) | (self.c_one == self.c_two)] = 1
-        return self.c_two, self.c_one, self.m_two, m_one
-
-    def learn(self, n: int, ids: np.ndarray, hit_two: np.ndarray) -> None:
-        up = self.e_two + ((self.e_two < ((CONFIDENCE - 1) << 16)).astype(np.uint32) << np.uint32(16))
-        self.two[self.at_two] = np.where(hit_two, up, ids)
-        hit_one = ids == self.c_one
-        up = self.e_one + ((self.e_one < ((CONFIDENCE - 1) << 16)).astype(np.uint32) << np.uint32(16))
-        self.one[self.at_one] = np.where(hit_one, up, ids)
-        self.p_two[self.s_two] = self.m_two + np.where(hit_two, (ONE - self.m_two) >> 4, -(self.m_two >> 4))
-        step = np.where(hit_one, (ONE - self.q_one) >> 4, -(self.q_one >> 4))
-        step[hit_two] = 0
-        self.p_one[self.s_one] = self.q_one + step
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+    """The adaptive state of ``lanes`` blocks; both directions drive it alike. Ids are ranks.
+
+    A slot of order 2 holds tag (12 bits), times (4) and id (16); one of order 1 the count
+    state (16 bits), second id (16) and first id (16). Weights are pairs (order 2, order 1).
+    """
+
+    def __init__(self, grid: np.ndarray, freq: np.ndarray):
+        lanes, self.grid = grid.shape[1], grid  # ids by place and block, those to come not yet read
+        self.lanes, self.size = lanes, -(-len(freq) // SEGMENT) * SEGMENT
+        # Tables are rows by slot, blocks side by side, so what all blocks use often lies together.
+        self.lane, self.row = np.arange(lanes, dtype=np.int64), np.uint32(lanes)
+        self.freq = np.zeros((self.size, 1), np.uint32)
+        self.freq[: len(freq), 0] = freq
+        self.count, self.counted = np.zeros((self.size, lanes), np.uint16), 0
+        self.cum = np.zeros((self.size + 1, lanes), np.uint32)
+        self.flat = self.cum.reshape(-1)
+        self.one, self.two = np.zeros(lanes << SLOTS_BITS, np.uint64), np.zeros(lanes << SLOTS_BITS, np.uint32)
+        self.weights = np.repeat(_WEIGHTS, lanes)
+        self.last, self.mixed = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.rebuild(0)
+
+    def rebuild(self, t: int) -> None:
+        """Order 0's cumulative table from the counts of the t ids so far."""
+        count = self.count.reshape(-1)
+        for new in self.grid[self.counted : t]:
+            count[new * np.int64(self.lanes) + self.lane] += _ONCE16
+        before = self.cum[0]
+        for at in range(0, self.size, SEGMENT):
+            part = self.count[at : at + SEGMENT] * _K_STEP
+            part += self.freq[at : at + SEGMENT]
+            part[0] += before
+            np.cumsum(part, axis=0, out=self.cum[at + 1 : at + SEGMENT + 1])
+            before = self.cum[at + SEGMENT]
+        self.counted, self.total = t, TOTAL + STEP * t
+        self.parts = self.cum[:-1:SEGMENT].reshape(-1)
+
+    def places(self, slot: np.ndarray) -> np.ndarray:
+        return slot * self.row + self.lane[: len(slot)]
+
+    def predict(self, m: int):
+        """The ids that the contexts name (order 2's, order 1's two) and their masses."""
+        last = self.last[:m]
+        h = (last * _K_LAST ^ self.mixed[:m]) * _K_SPREAD
+        self.at_two = self.places(h >> _K_SLOT)
+        self.at_one = self.places(last & _K_SLOTS)
+        self.tag = h << _K_TAG & _K_TAGS
+        self.e_two, self.e_one = e_two, e_one = self.two[self.at_two], self.one[self.at_one]
+        times = e_two >> _K16 ^ self.tag  # below 8 where the tag fits
+        self.known = times < _K8
+        self.state = state = (e_one >> _U32).astype(np.int64)
+        self.at_w = self.places((np.minimum(times, _K3) * self.known << _K4) + _TRUST[state])
+        weight, shares = self.weights[self.at_w], _SHARES[state]
+        self.v_two, self.v_one = v_two, v_one = weight.real, weight.imag
+        self.s_a, self.s_b = s_a, s_b = v_one * shares.real, v_one * shares.imag
+        pair = e_one.astype(np.uint32)
+        self.c_two, self.c_a, self.c_b = c_two, c_a, c_b = e_two & _K_LOW, pair & _K_LOW, pair >> _K16
+        both_a, both_b = s_a * (c_two == c_a), s_b * (c_two == c_b)
+        m_two = ((v_two + both_a + both_b) * _SCALE).astype(np.int32)
+        m_a = ((s_a - both_a) * _SCALE).astype(np.int32)
+        m_b = ((s_b - both_b) * _SCALE).astype(np.int32)
+        return m_two, m_a, m_b
+
+    def learn(self, m: int, x: np.ndarray, share: np.ndarray) -> None:
+        """x: the ids (uint32) that came; share: their order-0 frequencies."""
+        is_two, is_a, is_b = x == self.c_two, x == self.c_a, x == self.c_b
+        v_two, v_one, state = self.v_two, self.v_one, self.state
+        r_two, r_one = v_two * is_two, self.s_a * is_a + self.s_b * is_b
+        rate = RATE / ((_OVER - v_two - v_one) * (share.astype(np.float32) * np.float32(1 / self.total)) + r_two + r_one)
+        weight = np.empty(m, np.complex64)
+        weight.real = v_two * _KEEP + r_two * rate
+        weight.imag = v_one * _KEEP + r_one * rate
+        self.weights[self.at_w] = weight
+        # The first id needs a count to be one; the second is 0 until it has come.
+        is_a &= state >= 16
+        is_b &= (state & 15) > 0
+        came = state + (is_a.astype(np.int64) << 8) + (is_b.astype(np.int64) << 9)
+        second = self.c_b + (x - self.c_b) * ~(is_a | is_b)
+        turn = (self.c_a ^ second) * _SWAP[came]
+        self.one[self.at_one] = _AFTER[came] | ((second ^ turn) << _K16 | self.c_a ^ turn)
+        is_two &= self.known
+        fresh = x | self.tag << _K16 | _K_ONCE
+        more = self.e_two + _K_ONCE * ((self.e_two & _K_TIMES) < _K_TIMES)
+        self.two[self.at_two] = fresh + (more - fresh) * is_two
+        self.mixed[:m] = self.last[:m] * _K_BEFORE
+        self.last[:m] = x
+
+    def search(self, lane: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold the wanted places."""
+        at, row, last = lane, np.int64(self.lanes), (self.size // SEGMENT - 1) * self.lanes + lane
+        for bit in reversed(range((self.size // SEGMENT - 1).bit_length())):
+            new = np.minimum(at + (row << bit), last)
+            at = at + (self.parts[new] <= want) * (new - at)
+        at = (at - lane) * SEGMENT + lane
+        for bit in reversed(range(SEGMENT.bit_length() - 1)):
+            at += (self.flat[at + (row << bit)] <= want) * (row << bit)
+        return (at - lane) // row
 
 
 def _ripe(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
@@ -90,38 +205,40 @@ def _cut(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
     return np.where((low ^ (low + rng)) < _TOP, rng, (~low + _U(1)) & _LOW32)
 
 
-def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids: uint16, at most BLOCK * LANES. Words of each block, CRC of each, all words in order."""
+def encode_blocks(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids: uint16, all in the table. Words of each block, CRC of each, all words in order."""
     n = len(ids)
     lanes = -(-n // BLOCK)
-    grid = np.zeros(lanes * BLOCK, np.uint32)
-    grid[:n] = ids
+    rank = np.zeros(1 << 16, np.uint16)
+    rank[table[0]] = np.arange(len(table[0]))
+    grid = np.zeros(lanes * BLOCK, np.uint16)
+    grid[:n] = rank[ids]
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     tail = n - (lanes - 1) * BLOCK
-    cum = (np.cumsum(freq) - freq).astype(np.uint64)
-    freq = freq.astype(np.uint64)
-    model = _Model(lanes)
+    model = _Model(grid, table[1])
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     out_lane, out_word = [], []
     for t in range(BLOCK):
         m = lanes if t < tail else lanes - 1
         if not m:
             break
-        x = grid[t, :m]
-        c_two, c_one, m_two, m_one = model.predict(m)
-        hit_two = x == c_two
-        hit_one = (x == c_one) & ~hit_two
-        escape = ~(hit_two | hit_one)
-        both = m_two + m_one
-        start = np.where(hit_two, 0, np.where(hit_one, m_two, both)).astype(np.uint64)
-        share = np.where(hit_two, m_two, np.where(hit_one, m_one, ONE - both)).astype(np.uint64)
-        unit = rng[:m] >> _12
-        lo, rg = low[:m] + unit * start, unit * share
-        esc = np.flatnonzero(escape)
-        if len(esc):
-            unit, xe = rg[esc] >> _16, x[esc]
-            lo[esc] += unit * cum[xe]
-            rg[esc] = unit * freq[xe]
+        if t in REBUILD:
+            model.rebuild(t)
+        x = grid[t, :m].astype(np.uint32)
+        m_two, m_a, m_b = model.predict(m)
+        at = model.places(x)
+        start_zero = model.flat[at]
+        share_zero = model.flat[at + lanes] - start_zero
+        is_two, is_a, is_b = (x == model.c_two) & (m_two > 0), (x == model.c_a) & (m_a > 0), (x == model.c_b) & (m_b > 0)
+        rest = ~(is_two | is_a | is_b)
+        named = m_two + m_a
+        start = m_two * is_a + named * is_b + (named + m_b) * rest
+        share = m_two * is_two + m_a * is_a + m_b * is_b + (ONE - named - m_b) * rest
+        unit = rng[:m] >> _16
+        lo, rg = low[:m] + unit * start.astype(np.uint64), unit * share.astype(np.uint64)
+        unit = rg // _U(model.total)
+        lo += unit * (start_zero * rest)
+        rg = np.where(rest, unit * share_zero, rg)
         idx = _ripe(lo, rg)
         while len(idx):
             a, b = lo[idx], _cut(lo[idx], rg[idx])
@@ -130,7 +247,7 @@ def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.nda
             lo[idx], rg[idx] = a, b = a << _16, b << _16
             idx = idx[_ripe(a, b)]
         low[:m], rng[:m] = lo, rg
-        model.learn(m, x, hit_two)
+        model.learn(m, x, share_zero)
     for shift in (48, 32, 16, 0):
         out_lane.append(np.arange(lanes, dtype=np.uint16))
         out_word.append(((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16))
@@ -140,14 +257,12 @@ def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.bincount(lane, minlength=lanes).astype(np.uint32), crc, word[np.argsort(lane, kind="stable")]
 
 
-def decode_blocks(n: int, freq: np.ndarray, words: np.ndarray, crc: np.ndarray, payload: np.ndarray) -> np.ndarray:
-    """The ids of a group; ValueError if a block's checksum differs."""
+def decode_blocks(n: int, table: tuple[np.ndarray, np.ndarray], words: np.ndarray, crc: np.ndarray, payload: np.ndarray) -> np.ndarray:
+    """The n ids of blocks that all but the last are full; ValueError if a block's checksum differs."""
     lanes = len(words)
     tail = n - (lanes - 1) * BLOCK
-    cum = (np.cumsum(freq) - freq).astype(np.uint64)
-    symbol = np.repeat(np.arange(1 << 16, dtype=np.uint32), freq)
-    freq = freq.astype(np.uint64)
-    model = _Model(lanes)
+    grid = np.zeros((BLOCK, lanes), np.uint16)
+    model = _Model(grid, table[1])
     data = np.concatenate([payload, np.zeros(8, np.uint16)]).astype(np.uint64)
     pos = np.cumsum(words, dtype=np.int64) - words
     code = np.zeros(lanes, np.uint64)
@@ -155,28 +270,33 @@ def decode_blocks(n: int, freq: np.ndarray, words: np.ndarray, crc: np.ndarray,
         code = code << _16 | data[pos]
         pos += 1
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    grid = np.zeros((BLOCK, lanes), np.uint16)
     for t in range(BLOCK):
         m = lanes if t < tail else lanes - 1
         if not m:
             break
-        c_two, c_one, m_two, m_one = model.predict(m)
-        both = m_two + m_one
-        unit = rng[:m] >> _12
-        value = np.minimum((code[:m] - low[:m]) // unit, _U(ONE - 1)).astype(np.int64)
-        hit_two = value < m_two
-        escape = value >= both
-        x = np.where(hit_two, c_two, c_one)
-        start = np.where(hit_two, 0, np.where(escape, both, m_two)).astype(np.uint64)
-        share = np.where(hit_two, m_two, np.where(escape, ONE - both, m_one)).astype(np.uint64)
-        lo, rg = low[:m] + unit * start, unit * share
-        esc = np.flatnonzero(escape)
-        if len(esc):
-            unit = rg[esc] >> _16
-            xe = symbol[np.minimum((code[esc] - lo[esc]) // unit, _U(65535)).astype(np.int64)]
-            x[esc] = xe
-            lo[esc] += unit * cum[xe]
-            rg[esc] = unit * freq[xe]
+        if t in REBUILD:
+            model.rebuild(t)
+        m_two, m_a, m_b = model.predict(m)
+        named = m_two + m_a
+        unit = rng[:m] >> _16
+        value = np.minimum((code[:m] - low[:m]) // unit, _U(ONE - 1)).astype(np.int32)
+        is_two, rest, late = value < m_two, value >= named + m_b, value >= named
+        is_a, is_b = ~(is_two | late), late & ~rest
+        start = m_two * is_a + named * is_b + (named + m_b) * rest
+        share = m_two * is_two + m_a * is_a + m_b * is_b + (ONE - named - m_b) * rest
+        x = model.c_two * is_two + model.c_a * is_a + model.c_b * is_b
+        lo, rg = low[:m] + unit * start.astype(np.uint64), unit * share.astype(np.uint64)
+        far = np.flatnonzero(rest)
+        if len(far):
+            unit = rg[far] // _U(model.total)
+            want = np.minimum((code[far] - lo[far]) // unit, _U(model.total - 1)).astype(np.uint32)
+            x[far] = model.search(far, want)
+        at = model.places(x)
+        start_zero = model.flat[at]
+        share_zero = model.flat[at + lanes] - start_zero
+        if len(far):
+            lo[far] += unit * start_zero[far]
+            rg[far] = unit * share_zero[far]
         idx = _ripe(lo, rg)
         while len(idx):
             a, b = lo[idx], _cut(lo[idx], rg[idx])
@@ -186,9 +306,9 @@ def decode_blocks(n: int, freq: np.ndarray, words: np.ndarray, crc: np.ndarray,
             lo[idx], rg[idx] = a, b = a << _16, b << _16
             idx = idx[_ripe(a, b)]
         low[:m], rng[:m] = lo, rg
-        model.learn(m, x, hit_two)
+        model.learn(m, x, share_zero)
         grid[t, :m] = x
-    ids = grid.T.reshape(-1)[:n]
+    ids = table[0][np.ascontiguousarray(grid.T).reshape(-1)[:n]]
     raw = ids.astype("<u2")
     for i, want in enumerate(crc):
         if zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK]) != want:

@@ -1,27 +1,31 @@
 """Operator 4: token ids in binary files, compressed by ``range_coder``.
 
-``write_ids`` puts documents in ascending id order into files: a range partition is a file.
-File: magic; groups (ids, order-0 table, words and CRC of each block, payload); footer with
-the documents' ids and lengths, its CRC and place, magic. Ids are below 2**16. A task writes
-its file under a name of its own and returns the name, so a repeated or lost task does no
-harm; only files in the returned manifest count. ``read_ids`` takes a task for each file.
+``write_ids`` deals documents in ascending id order to range partitions of about
+PARTITION_BYTES of text; a task writes its documents to files of about FILE_IDS ids, whole
+documents each. File: magic; groups (starting table, then the blocks' words); footer; magic.
+The footer lists the groups (place and check of the table), the blocks (place, words, ids,
+CRC-32, group) and the documents (id, length), and has a CRC-32 of its own. So one block
+costs the footer, its group's table and its words (``read_block``), one document the blocks
+it lies in (``read_document``). Ids are below 2**16. A task writes under names of its own
+and returns them, so a repeated or lost task does no harm; only files in the returned
+manifest count. ``read_ids`` takes a task for each file.
 
 Null text is empty and gives the end id alone. Null ids come first. Repeated ids stay, each
-with its own row. Empty tables give no file and no row. Other columns are ignored.
+with its own row; equal ids, however many, are cut between partitions by text and row.
+Empty tables give no file and no row. Other columns are ignored.
 
 Words cut at ASCII white space can be encoded one by one when the tokenizer drops white
-space (``by_word=True``); ids then come from a bounded cache per worker. Words of ASCII and
-Latin-1 letters are cut further as the tokenizer's own pre-tokenizer does.
+space and lower-cases (``by_word=True``, see ``word_ids``).
 """
 
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,21 +35,19 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import range_coder
 from lexloom.llm.common import fresh_dir, open_fs, put_file, text_batches
+from lexloom.llm.merges import PieceMerger
+from lexloom.llm.word_ids import WordIds
 
-MAGIC = b"LXTOKID1"
-GROUP = range_coder.BLOCK * range_coder.LANES
-#: Words and pieces of words whose ids a worker remembers.
-CACHE_WORDS = 600_000
-#: Pieces encoded in one go.
-JOINED = 200
+MAGIC = b"LXTOKID2"
+#: Text of a range partition, and ids after which a file is closed (most partitions have one).
+PARTITION_BYTES = 32_000_000
+FILE_IDS = 24_000_000
 DOCS_SCHEMA = "{id} long, start long, n_tokens long, ids_crc32 long"
-# Letters of ASCII and of Latin-1 are one code point each, whatever stands beside them.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+", re.ASCII).findall
-_PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+_GROUP, _BLOCK, _TAIL = np.dtype("<u8,<u4,<u4"), np.dtype("<u8,<u4,<u4,<u4,<u4"), struct.Struct(f"<QQQQQI{len(MAGIC)}s")
 
 
 class WordEncoder:
-    """Ids of words, as little-endian 16-bit numbers."""
+    """Ids of whole texts, as uint16 arrays; ``by_word``: by ``word_ids``, where the vocabulary allows it."""
 
     def __init__(self, path: str, by_word: bool):
         import os
@@ -56,68 +58,17 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 2**16 and more don't fit this format")
-        self.by_word = by_word
-        # Every piece ends in an entry of its own kind, so many can be encoded in one go.
-        self.ends = np.zeros(1 << 16, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        merger = PieceMerger(path) if by_word else None
+        self.words = WordIds(merger, self._encode) if merger and merger.usable else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("H", e.ids).tobytes() for e in found]
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        for at in range(0, len(new), JOINED):
-            part = new[at : at + JOINED]
-            ids = np.frombuffer(self._encode([" ".join(part)])[0], np.uint16)
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 2
-            if len(stops) == len(part) and stops[-1] == 2 * len(ids):
-                data, start = ids.tobytes(), 0
-                for piece, stop in zip(part, stops.tolist()):
-                    self.pieces[piece] = data[start:stop]
-                    start = stop
-            else:  # an entry that ends words elsewhere too: one by one
-                self.pieces.update(zip(part, self._encode(part)))
-
-    def _learn(self, new: set[bytes]) -> None:
-        one, cut, direct = {}, {}, {}
-        for word in new:
-            if word.isalpha():  # ASCII letters: a piece as it is
-                one[word] = word.decode().lower()
-                continue
-            text = word.decode()
-            if _PLAIN(text) and "<|" not in text:
-                cut[word] = _PIECES(text.lower())
-            else:
-                direct[word] = text
-        wanted = set(one.values()).union(*cut.values())
-        self._learn_pieces([p for p in wanted if p not in self.pieces])
-        get = self.pieces.__getitem__
-        self.words.update(zip(one, map(get, one.values())))
-        self.words.update(zip(direct, self._encode(list(direct.values()))))
-        self.words.update((word, b"".join(map(get, own))) for word, own in cut.items())
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self.by_word:
-            return self._encode([t or "" for t in texts])
-        for cache in (self.words, self.pieces):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-        get, cut, missing = self.words.get, [], set()
-        for text in texts:
-            plain = text.encode() if text else b""
-            if b"<|" not in plain:  # else a special token may hide in other case
-                plain = plain.lower()
-            words = plain.split()
-            ids = list(map(get, words))
-            cut.append((words, ids))
-            if None in ids:
-                missing.update(w for w, i in zip(words, ids) if i is None)
-        if missing:
-            self._learn(missing)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words) if None in ids else ids) for words, ids in cut]
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.words:
+            return self.words.encode(texts)
+        return [np.frombuffer(x, np.uint16) for x in self._encode([t or "" for t in texts])]
 
 
 @lru_cache(maxsize=2)
@@ -125,137 +76,190 @@ def encoder(path: str, by_word: bool) -> WordEncoder:
     return WordEncoder(path, by_word)
 
 
-def _group(ids: np.ndarray) -> bytes:
-    freq = range_coder.order0(ids)
-    words, crc, payload = range_coder.encode_blocks(ids, freq)
-    there = np.flatnonzero(freq).astype("<u2")
-    table = zlib.compress(np.diff(there, prepend=there[:1]).astype("<u2").tobytes() + (freq[there] - 1).astype("<u2").tobytes(), 6)
-    first = int(there[0])
-    head = struct.pack("<IIIIII", len(ids), len(words), len(there), first, len(table), zlib.crc32(table))
-    return b"".join([head, table, words.astype("<u4").tobytes(), crc.astype("<u4").tobytes(), payload.astype("<u2").tobytes()])
-
-
-def _groups(stream, size: int):
-    """The ids of each group of a file whose groups end at ``size``."""
-    at = len(MAGIC)
-    stream.seek(at)
-    while at < size:
-        n, blocks, symbols, first, table_len, table_crc = struct.unpack("<IIIIII", stream.read(24))
-        table = stream.read(table_len)
-        if zlib.crc32(table) != table_crc:
-            raise ValueError("checksum of an order-0 table differs")
-        plain = np.frombuffer(zlib.decompress(table), "<u2").astype(np.int64)
-        freq = np.zeros(1 << 16, np.int64)
-        freq[first + np.cumsum(plain[:symbols])] = plain[symbols:] + 1
-        sizes = np.frombuffer(stream.read(8 * blocks), "<u4")
-        words, crc = sizes[:blocks], sizes[blocks:]
-        count = int(words.sum(dtype=np.int64))
-        payload = np.frombuffer(stream.read(2 * count), "<u2")
-        yield range_coder.decode_blocks(n, freq, words, crc, payload)
-        at += 24 + table_len + 8 * blocks + 2 * count
-
-
-def write_file(out, rows) -> tuple[int, int]:
-    """rows: (id or None, ids as bytes). Documents and ids written."""
-    keys, sizes, held, n_held, total, at = [], [], [], 0, 0, len(MAGIC)
-    out.write(MAGIC)
-
-    def flush(everything: bool) -> None:
-        nonlocal held, n_held, at
-        ids = np.frombuffer(b"".join(held), "<u2")
-        stop = len(ids) if everything else len(ids) // GROUP * GROUP
-        for i in range(0, stop, GROUP):
-            data = _group(ids[i : min(i + GROUP, stop)])
-            out.write(data)
-            at += len(data)
-        held, n_held = [ids[stop:].tobytes()], len(ids) - stop
-
-    for key, ids in rows:
-        keys.append(key)
-        sizes.append(len(ids) // 2)
-        held.append(ids)
-        n_held += len(ids) // 2
-        total += len(ids) // 2
-        if n_held >= GROUP:
-            flush(False)
-    flush(True)
-    null = np.array([k is None for k in keys], "u1")
-    index = zlib.compress(np.array([k or 0 for k in keys], "<i8").tobytes() + np.array(sizes, "<u8").tobytes() + null.tobytes(), 6)
-    out.write(index + struct.pack("<QQQI", at, len(index), len(keys), zlib.crc32(index)) + MAGIC)
-    return len(keys), total
+def _pack_table(table: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Ids in order of frequency, then the steps down from one frequency to the next."""
+    return zlib.compress(table[0].astype("<u2").tobytes() + (-np.diff(table[1], prepend=1 << 17)).astype("<u4").tobytes(), 6)
+
+
+def _unpack_table(data: bytes, check: int) -> tuple[np.ndarray, np.ndarray]:
+    if zlib.crc32(data) != check:
+        raise ValueError("checksum of a starting table differs")
+    plain = zlib.decompress(data)
+    n = len(plain) // 6
+    return np.frombuffer(plain, "<u2", n), (1 << 17) - np.cumsum(np.frombuffer(plain, "<u4", n, 2 * n).astype(np.int64))
+
+
+class TokenFile:
+    """Writes documents; ``close`` codes what is held and adds the footer."""
+
+    def __init__(self, out):
+        self.out, self.at = out, len(MAGIC)
+        self.keys, self.sizes, self.groups, self.blocks = [], [], [], []
+        self.held, self.n_held, self.total = [], 0, 0
+        out.write(MAGIC)
+
+    def add(self, key: int | None, ids: np.ndarray) -> None:
+        n = len(ids)
+        self.keys.append(key)
+        self.sizes.append(n)
+        self.held.append(ids)
+        self.n_held += n
+        self.total += n
+        if self.n_held >= FILE_IDS:
+            self._code()
+
+    def _code(self) -> None:
+        """Code what is held in groups of about equal size, no wider than the state in step allows."""
+        ids = np.concatenate([np.zeros(0, np.uint16), *self.held])
+        self.held, self.n_held = [], 0
+        blocks = -(-len(ids) // range_coder.BLOCK)
+        groups = -(-blocks // range_coder.max_lanes(len(range_coder.start_table(ids)[0]))) if blocks else 0
+        for i in range(groups):
+            a, b = (range_coder.BLOCK * (blocks * j // groups) for j in (i, i + 1))
+            self._group(ids[a:b], range_coder.start_table(ids[a:b]))
+
+    def _group(self, ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> None:
+        words, crc, payload = range_coder.encode_blocks(ids, table)
+        packed = _pack_table(table)
+        self.groups.append((self.at, len(packed), zlib.crc32(packed)))
+        self.out.write(packed)
+        self.out.write(payload.astype("<u2").tobytes())
+        start = self.at + len(packed)
+        for i, (n, check) in enumerate(zip(words.tolist(), crc.tolist())):
+            size = min(range_coder.BLOCK, len(ids) - i * range_coder.BLOCK)
+            self.blocks.append((start, n, size, check, len(self.groups) - 1))
+            start += 2 * n
+        self.at = start
+
+    def close(self) -> tuple[int, int]:
+        """Documents and ids written."""
+        self._code()
+        null = np.array([k is None for k in self.keys], "u1")
+        keys, sizes = np.array([k or 0 for k in self.keys], "<i8"), np.array(self.sizes, "<u8")
+        parts = [np.array(self.groups, _GROUP), np.array(self.blocks, _BLOCK), keys, sizes, null]
+        index = zlib.compress(b"".join(p.tobytes() for p in parts), 6)
+        self.out.write(index + _TAIL.pack(self.at, len(index), len(self.groups), len(self.blocks), len(self.keys), zlib.crc32(index), MAGIC))
+        return len(self.keys), self.total
+
+
+class Footer:
+    """What a file's footer lists: groups, blocks, and each document's id and length."""
+
+    def __init__(self, stream, size: int):
+        stream.seek(size - _TAIL.size)
+        at, length, groups, blocks, docs, crc, magic = _TAIL.unpack(stream.read(_TAIL.size))
+        stream.seek(at)
+        index = stream.read(length)
+        if magic != MAGIC or zlib.crc32(index) != crc:
+            raise ValueError("the footer of a token file is damaged")
+        plain, place = zlib.decompress(index), 0
+        found = []
+        for kind, n in ((_GROUP, groups), (_BLOCK, blocks), (np.dtype("<i8"), docs), (np.dtype("<u8"), docs), (np.dtype("u1"), docs)):
+            found.append(np.frombuffer(plain, kind, n, place))
+            place += kind.itemsize * n
+        self.stream, (self.groups, self.blocks, keys, sizes, null) = stream, found
+        self.keys = [None if gone else k for k, gone in zip(keys.tolist(), null.tolist())]
+        self.sizes = sizes.astype(np.int64)
+
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """The ids of the blocks from first up to last, all of one group; nothing else is read."""
+        blocks = self.blocks[first:last]
+        at, length, check = self.groups[blocks["f4"][0]].tolist()
+        self.stream.seek(at)
+        table = _unpack_table(self.stream.read(length), check)
+        words = blocks["f1"].astype(np.int64)
+        self.stream.seek(int(blocks["f0"][0]))
+        payload = np.frombuffer(self.stream.read(2 * int(words.sum())), "<u2")
+        return range_coder.decode_blocks(int(blocks["f2"].sum()), table, words, blocks["f3"], payload)
+
+    def runs(self, first: int, last: int) -> Iterator[np.ndarray]:
+        """Ids of blocks from first up to last, a group at a time."""
+        cuts = [first, *(np.flatnonzero(np.diff(self.blocks["f4"][first:last])) + first + 1).tolist(), last]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield self.ids(a, b)
+
+
+def read_block(stream, size: int, block: int) -> np.ndarray:
+    """The ids of one block."""
+    return Footer(stream, size).ids(block, block + 1)
+
+
+def read_document(stream, size: int, place: int) -> tuple[int | None, np.ndarray]:
+    """Id and ids of the document at a place of the file; decodes the blocks it lies in."""
+    foot = Footer(stream, size)
+    start, n = int(foot.sizes[:place].sum()), int(foot.sizes[place])
+    stops = np.cumsum(foot.blocks["f2"].astype(np.int64))
+    first, last = np.searchsorted(stops, start, "right"), np.searchsorted(stops, start + n, "left") + 1
+    if not n:
+        return foot.keys[place], np.zeros(0, np.uint16)
+    start -= int(stops[first - 1]) if first else 0
+    return foot.keys[place], np.concatenate(list(foot.runs(int(first), int(last))))[start : start + n]
 
 
 def read_file(stream, size: int):
     """(id, ids as a uint16 array) of each document of a file."""
-    tail = 28 + len(MAGIC)
-    stream.seek(size - tail)
-    *place, magic = struct.unpack(f"<QQQI{len(MAGIC)}s", stream.read(tail))
-    at, length, docs, crc = place
-    stream.seek(at)
-    index = stream.read(length)
-    if magic != MAGIC or zlib.crc32(index) != crc:
-        raise ValueError("the footer of a token file is damaged")
-    plain = zlib.decompress(index)
-    keys, sizes = np.frombuffer(plain, "<i8", docs), np.frombuffer(plain, "<u8", docs, 8 * docs).astype(np.int64)
-    null = np.frombuffer(plain, "u1", docs, 16 * docs)
-    groups, held, start = _groups(stream, at), np.zeros(0, np.uint16), 0
-    for key, n, gone in zip(keys.tolist(), sizes.tolist(), null.tolist()):
+    foot = Footer(stream, size)
+    runs, held, start = foot.runs(0, len(foot.blocks)), np.zeros(0, np.uint16), 0
+    for key, n in zip(foot.keys, foot.sizes.tolist()):
         if len(held) - start < n:
             parts, have = [held[start:]], len(held) - start
             while have < n:
-                parts.append(next(groups))
+                parts.append(next(runs))
                 have += len(parts[-1])
             held, start = np.concatenate(parts), 0
-        yield None if gone else key, held[start : start + n]
+        yield key, held[start : start + n]
         start += n
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_word: bool, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int, int]]:
-    """Write the files; the manifest (partition, path, documents, ids) by partition."""
-    end = struct.pack("<H", end_id)
+def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_word: bool, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, str, int, int]]:
+    """Write the files; the manifest (partition, file in it, path, documents, ids) in order of ids."""
+    end = np.array([end_id], np.uint16)
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-
-        def rows():
-            def all_batches():
-                yield first
-                yield from batches
-
-            encode = encoder(tokenizer, by_word).encode
-            for keys, texts in text_batches(all_batches(), "key", "text"):
-                for key, ids in zip(keys, encode(texts)):
-                    yield key, ids + end
-
-        got = {}
-        path = put_file(folder, f"part-{part:06d}-{uuid.uuid4().hex}.tok", lambda out: got.update(n=write_file(out, rows())))
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, path, *got["n"])], names=["part", "path", "docs", "ids"])
+        encode = encoder(tokenizer, by_word).encode
+        # Ids as they come: what is not yet taken of the last batch goes on into the next file.
+        rows = ((key, np.concatenate([ids, end])) for keys, texts in text_batches(batches, "key", "text") for key, ids in zip(keys, encode(texts)))
+        number, row = 0, next(rows, None)
+        while row is not None:  # one file more
+            got = {}
+
+            def fill(out):
+                nonlocal row
+                file = TokenFile(out)
+                while row is not None and file.total < FILE_IDS:
+                    file.add(*row)
+                    row = next(rows, None)
+                got["n"] = file.close()
+
+            path = put_file(folder, f"part-{part:06d}-{number:04d}-{uuid.uuid4().hex}.tok", fill)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, number, path, *got["n"])], names=["part", "number", "path", "docs", "ids"])
+            number += 1
 
     picked = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].alias("text"))
-    dealt = picked.repartitionByRange(_files(docs.sparkSession), "key").sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
-    manifest = dealt.mapInArrow(run, "part long, path string, docs long, ids long")
+    size = picked.select(F.sum(F.octet_length("text") + 8)).first()[0]
+    if size is None and picked.isEmpty():
+        return []
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    # Row numbers follow from the input's splits, so a repeated task deals its rows alike.
+    dealt = picked.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-(size or 0) // PARTITION_BYTES)), *order).sortWithinPartitions(*order)
+    manifest = dealt.select("key", "text").mapInArrow(run, "part long, number long, path string, docs long, ids long")
     return sorted(tuple(r) for r in manifest.collect())  # a row for each file
 
 
-def _files(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def read_ids(spark: SparkSession, manifest: list[tuple[int, str, int, int]], id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def read_ids(spark: SparkSession, manifest: list[tuple[int, int, str, int, int]], id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Documents of the files: id, place of the first of its ids, ids with the end id, their CRC-32."""
     schema = DOCS_SCHEMA.format(id=f"`{id_col}`") + ", ids array<int>" * with_ids
     if not manifest:
         return spark.createDataFrame([], schema)
     rows, start = [], 0
-    for _, path, _, ids in manifest:
+    for *_, path, _, ids in manifest:
         rows.append((path, start))
         start += ids
-    files = spark.createDataFrame(rows, "path string, start long").repartition(len(rows))
+    files = spark.createDataFrame(rows, "path string, start long").repartitionByRange(len(rows), "start")
 
     def run(batches):
         for batch in batches:
