@@ -108,17 +108,16 @@ def by_case_set(forms: DataFrame, key: str, form: str, case: str) -> DataFrame:
 
 
 def inflect_phrase(words: DataFrame, forms: DataFrame) -> DataFrame:
-    """Forms of phrases of up to three words: the product of the words' forms of one case and number.
+    """Forms of phrases of any length: the product of the words' forms of one case and number.
 
-    words: phrase_id, pos, lemma. forms: lemma, number, case, form.
+    words: phrase_id, pos, lemma. forms: lemma, number, case, form. A join for each word of the longest phrase.
     """
     n = words.groupBy("phrase_id").agg(F.max("pos").alias("n"))
-    cells = words.join(forms, "lemma").select("phrase_id", "pos", "number", "case", "form")
-    out = cells.filter("pos = 1").select("phrase_id", "number", "case", F.col("form").alias("phrase"), F.lit(1).alias("upto"))
-    done = [out]
-    for k in (2, 3):
-        nxt = cells.filter(f"pos = {k}").drop("pos")
-        out = out.join(nxt, ["phrase_id", "number", "case"]).select("phrase_id", "number", "case", F.concat_ws(" ", "phrase", "form").alias("phrase"), F.lit(k).alias("upto"))
-        done.append(out)
-    full = done[0].unionByName(done[1]).unionByName(done[2])
-    return full.join(n, "phrase_id").filter("upto = n").select("phrase_id", "number", "case", "phrase").distinct()
+    cells = words.join(forms, "lemma").join(n, "phrase_id").select("phrase_id", "pos", "n", "number", "case", "form")
+    out = cells.filter("pos = 1").select("phrase_id", "n", "number", "case", F.col("form").alias("phrase"))
+    done = out.filter("n = 1")
+    for k in range(2, (words.agg(F.max("pos")).first()[0] or 1) + 1):
+        nxt = cells.filter(f"pos = {k}").drop("pos", "n")
+        out = out.filter(f"n >= {k}").join(nxt, ["phrase_id", "number", "case"]).select("phrase_id", "n", "number", "case", F.concat_ws(" ", "phrase", "form").alias("phrase"))
+        done = done.unionByName(out.filter(f"n = {k}"))
+    return done.select("phrase_id", "number", "case", "phrase").distinct()

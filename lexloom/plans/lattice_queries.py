@@ -71,7 +71,7 @@ def cutpoint_components(spark, sf_dir):
     return G.components(lattice(spark, sf_dir), ["par"]).select("par", "beg", "nxt", "orth", "component")
 
 
-@query(LATTICE + ", n AS (SELECT par, node, dense_rank() OVER (PARTITION BY par ORDER BY node) - 1 AS k FROM (SELECT par, beg AS node FROM lat UNION SELECT par, nxt FROM lat)) SELECT l.par, l.orth, a.k::INT AS lnode, b.k::INT AS rnode FROM lat l JOIN n a ON a.par = l.par AND a.node = l.beg JOIN n b ON b.par = l.par AND b.node = l.nxt")
+@query(LATTICE.replace("lat AS (", "lat AS MATERIALIZED (") + ", n AS MATERIALIZED (SELECT par, node, dense_rank() OVER (PARTITION BY par ORDER BY node) - 1 AS k FROM (SELECT par, beg AS node FROM lat UNION SELECT par, nxt FROM lat)) SELECT l.par, l.orth, a.k::INT AS lnode, b.k::INT AS rnode FROM lat l JOIN n a ON a.par = l.par AND a.node = l.beg JOIN n b ON b.par = l.par AND b.node = l.nxt")
 def lattice_renumber(spark, sf_dir):
     """G15, G16."""
     return G.renumbered(lattice(spark, sf_dir), ["par"]).select("par", "orth", "lnode", "rnode")
@@ -175,7 +175,7 @@ def mwe_bigrams(spark, sf_dir):
     return M.produce(M.matches(_mwe_edges(spark, sf_dir), r), p).select("doc_id", "par_id", "beg", "len", "nxt", "orth", "cat")
 
 
-@query(_FIX + "SELECT doc_id, par_id, beg, len, nxt, orth, cat FROM e4")
+@query(_FIX + "SELECT doc_id, par_id, beg, len, nxt, orth, cat FROM e4 UNION SELECT doc_id, par_id, beg, len, nxt, orth, NULL FROM edges")
 def mwe_fixpoint(spark, sf_dir):
     """M2, M5, M7: set semantics, four rounds."""
     r, p = _rules(spark)
@@ -188,7 +188,7 @@ def lattice_vocabulary(spark, sf_dir):
     return M.vocabulary(_mwe_edges(spark, sf_dir))
 
 
-@query("SELECT rule_id FROM " + sql_values([("r1",), ("r2",), ("r3",), ("r6",)], "rule_id") + " WHERE (SELECT count(*) FROM documents) > 0")
+@query(EDGES.rstrip() + f", v AS MATERIALIZED (SELECT DISTINCT lower(orth) AS arg FROM edges) SELECT rule_id FROM {sql_values(_RULES, 'rule_id, slot, op, arg')} GROUP BY 1 HAVING bool_and(op = 'orth' AND arg IN (FROM v))")
 def rule_preselect(spark, sf_dir):
     """M2."""
     return M.selected_rules(_mwe_edges(spark, sf_dir), _rules(spark)[0]).select("rule_id").distinct()
@@ -301,13 +301,13 @@ def regression_compare(spark, sf_dir):
     return C.regression(flat(c.filter("turn % 5 <> 4")), flat(c.filter("conv_id % 4 <> 0")), "conv_id", "p")
 
 
-@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en') WHERE line NOT IN (SELECT unnest(string_split(text, chr(10))) FROM benchmark) AND line NOT IN (SELECT unnest(string_split(text, chr(10))) FROM documents WHERE lang = 'de') GROUP BY 1")
+@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang IS DISTINCT FROM 'de') WHERE line NOT IN (SELECT unnest(string_split(text, chr(10))) FROM benchmark) AND line NOT IN (SELECT unnest(string_split(text, chr(10))) FROM documents WHERE lang = 'de') GROUP BY 1")
 def new_text_antijoin(spark, sf_dir):
     """W21, W12."""
     lines = lambda df: df.select(F.explode(F.split("text", "\n")).alias("line"))
     d = docs(spark, sf_dir)
     known = lines(table(spark, sf_dir, "benchmark")).unionAll(lines(d.filter("lang = 'de'")))
-    return C.new_texts(lines(d.filter("lang = 'en'")), known, "line").groupBy("line").agg(F.count("*").alias("n"))
+    return C.new_texts(lines(d.filter("lang is distinct from 'de'")), known, "line").groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("WITH m AS (SELECT doc_id AS id, source AS subcorpus FROM documents), hit AS (SELECT doc_id FROM documents WHERE list_contains(string_split_regex(text, '[ \\n]'), 'the')) SELECT id, CASE WHEN subcorpus = 'src1' AND id IN (FROM hit) THEN 'picked' ELSE subcorpus END AS subcorpus FROM m")
@@ -318,7 +318,7 @@ def subcorpus_select_move(spark, sf_dir):
     return C.moved(d.select(F.col("doc_id").alias("id"), F.col("source").alias("subcorpus")), hit, "src1", "picked")
 
 
-@query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'es')")
+@query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)")
 def sentence_dump(spark, sf_dir):
     """Sorted on output."""
     return docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).orderBy("line")
@@ -371,7 +371,10 @@ def vocabulary(spark, sf_dir):
     return tokens.words(docs(spark, sf_dir)).select("word").distinct()
 
 
-@query(f"SELECT doc_id, par_id, md5(replace(replace(replace(substr(paragraph, 1, 5), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '<span class=\"HEAD\">' || replace(replace(replace(substr(paragraph, 6, 5), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>' || replace(replace(replace(substr(paragraph, 11), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS html FROM ({PARS}) WHERE length(paragraph) > 10")
+_ESC = lambda t: f"replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"SELECT doc_id, par_id, md5({_ESC('substr(paragraph, 1, 5)')} || CASE WHEN length(paragraph) > 5 THEN '<span class=\"HEAD\">' || {_ESC('substr(paragraph, 6, 5)')} || '</span>' || {_ESC('substr(paragraph, 11)')} ELSE '' END) AS html FROM ({PARS})")
 def marked_html(spark, sf_dir):
     """K6: the span ends with a shorter paragraph, and is absent where it would be empty."""
     spans = F.array(F.struct(F.lit(5).alias("from_"), F.least(F.lit(10), F.length("paragraph")).alias("to_"), F.lit("HEAD").alias("cat")))

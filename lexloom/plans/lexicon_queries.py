@@ -113,14 +113,19 @@ def phrase_inflection(spark, sf_dir):
     return M.inflect_phrase(values(spark, _WORDS, "phrase_id int, pos int, lemma string"), values(spark, _FORMS, "lemma string, number string, case string, form string"))
 
 
-_TAGRULES = [("a", {"cat": "noun", "gender": "m", "number": "sg"}), ("b", {"cat": "noun", "number": "pl"}), ("c", {"cat": "verb"})]
-_INTERPS = [("subst:sg", {"cat": "noun", "number": "sg"}), ("subst", {"cat": "noun"}), ("fin", {"cat": "verb"}), ("adj", {"cat": "adj"})]
+_RULE_TAGS = "SELECT p_partkey AS rule_id, unnest(['brand', 'type', 'parity']) AS k, unnest([p_brand, p_type, (p_size % 2)::VARCHAR]) AS v FROM part"
+_WANTED = "SELECT DISTINCT 'b:' || p_brand AS interp, 'brand' AS k, p_brand AS v FROM part UNION SELECT 'p0', 'parity', '0' UNION SELECT 'bt:' || p_brand || p_type, 'brand', p_brand FROM part UNION SELECT 'bt:' || p_brand || p_type, 'type', p_type FROM part UNION SELECT 'no', 'other', 'x'"
 
 
-@query("SELECT rule_id, interp FROM " + sql_values([("a", "subst:sg"), ("a", "subst"), ("b", "subst"), ("c", "fin")], "rule_id, interp"))
+@query(f"WITH h AS ({_RULE_TAGS}), w AS ({_WANTED}), n AS (SELECT interp, count(*) AS n FROM w GROUP BY 1) SELECT rule_id, interp FROM h JOIN w USING (k, v) JOIN n USING (interp) GROUP BY rule_id, interp, n HAVING count(*) = n")
 def tag_subset_interps(spark, sf_dir):
-    """L19."""
-    return M.assign_interps(values(spark, _TAGRULES, "rule_id string, tags map<string,string>"), values(spark, _INTERPS, "interp string, tags map<string,string>"))
+    """Parts as rules with tags; interps for brands, brands with types, one parity."""
+    p = table(spark, sf_dir, "part")
+    r = p.select(F.col("p_partkey").alias("rule_id"), F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type", F.lit("parity"), (F.col("p_size") % 2).cast("string")).alias("tags"))
+    one = p.select(F.concat(F.lit("b:"), "p_brand").alias("interp"), F.create_map(F.lit("brand"), "p_brand").alias("tags"))
+    two = p.select(F.concat(F.lit("bt:"), "p_brand", "p_type").alias("interp"), F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type").alias("tags"))
+    fixed = values(spark, [("p0", {"parity": "0"}), ("no", {"other": "x"})], "interp string, tags map<string,string>")
+    return M.assign_interps(r, one.unionByName(two).dropDuplicates(["interp"]).unionByName(fixed))
 
 
 @query(f"SELECT a.rule_id || '+' || b.rule_id AS rule_id, a.find || b.find AS find, a.set_ || b.set_ AS set_ FROM {RULE_SQL.replace('AS t', 'AS a')}, {RULE_SQL.replace('AS t', 'AS b')} WHERE a.pref = '' AND b.pref = ''")
@@ -170,7 +175,7 @@ def lemma_monotonicity(spark, sf_dir):
 _PREFIXES = ("re", "un", "th", "en", "ver")
 
 
-@query(f"WITH v AS ({VOCAB}) SELECT orth AS word FROM v WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest({list(_PREFIXES)}) AS p) q JOIN v w ON w.orth = substr(v.orth, length(p) + 1) WHERE starts_with(v.orth, p) AND length(v.orth) > length(p))".replace("NOT EXISTS (SELECT 1 FROM", "orth NOT IN (SELECT p || w.orth FROM v w,").replace(" q JOIN v w ON w.orth = substr(v.orth, length(p) + 1) WHERE starts_with(v.orth, p) AND length(v.orth) > length(p))", " q)"))
+@query(f"WITH v AS MATERIALIZED ({VOCAB}), x AS MATERIALIZED (SELECT DISTINCT p || orth AS w FROM v, (SELECT unnest({list(_PREFIXES)}) AS p)) SELECT orth AS word FROM v ANTI JOIN x ON v.orth = x.w")
 def prefix_selfjoin_antijoin(spark, sf_dir):
     """E15."""
     return D.without_prefixed(vocabulary(spark, sf_dir).select(F.col("orth").alias("word")), _PREFIXES)

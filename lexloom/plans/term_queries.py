@@ -34,7 +34,7 @@ def chart_parse(spark, sf_dir):
     return C.parse(entries, ["l_orderkey"], "s", max_cost=1)
 
 
-_PLACES = "SELECT l_orderkey, list(f ORDER BY l_linenumber) AS w, count(*) AS n FROM (SELECT l_orderkey, l_linenumber, string_agg(DISTINCT l_returnflag, '') AS f FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY ALL) GROUP BY 1"
+_PLACES = "SELECT l_orderkey, list(f ORDER BY l_linenumber) AS w, count(*) AS n FROM (SELECT l_orderkey, l_linenumber, string_agg(DISTINCT l_returnflag, '') AS f FROM lineitem GROUP BY ALL) GROUP BY 1"
 _ACCEPTED = " OR ".join("(n = {} AND {})".format(len(w), " AND ".join(f"contains(w[{i}], '{c}')" for i, c in enumerate(w, 1))) for w in ("ARA", "ANRA", "ARAN", "ANRAN"))
 
 
@@ -63,14 +63,20 @@ def chart_counters(spark, sf_dir):
     return lattice(spark, sf_dir).groupBy("par").agg(F.max(F.when(F.col("nxt") == F.col("last"), 1).otherwise(0)).alias("closes"), F.count("*").alias("n"))
 
 
-@query(LATTICE + "SELECT par, beg, nxt, orth FROM (SELECT *, row_number() OVER (PARTITION BY par, beg ORDER BY nxt DESC, orth) AS r FROM lat WHERE size = 1) WHERE r = 1")
+# The first longest edge at each start, then a walk: on from its end, or from the next start where none begins there.
+_COVER = LATTICE.replace("WITH base", "WITH RECURSIVE base").rstrip() + """, b AS MATERIALIZED (SELECT par, beg, nxt, orth FROM (SELECT *, row_number() OVER (PARTITION BY par, beg ORDER BY nxt DESC, orth) AS r FROM lat) WHERE r = 1),
+c AS MATERIALIZED (SELECT b.*, (SELECT min(x.beg) FROM b x WHERE x.par = b.par AND x.beg >= b.nxt) AS next FROM b), w AS (SELECT * FROM c WHERE beg = (SELECT min(beg) FROM b x WHERE x.par = c.par) UNION ALL SELECT c.* FROM w JOIN c ON c.par = w.par AND c.beg = w.next)
+"""
+
+
+@query(_COVER + "SELECT par, beg, nxt, orth FROM w")
 def greedy_cover(spark, sf_dir):
     """G19, W5."""
     e = lattice(spark, sf_dir).select("par", "beg", "nxt", "orth", F.col("orth").alias("cat"))
     return G.greedy_cover(e, ["par"]).select("par", "beg", "nxt", "orth")
 
 
-@query(EDGES + "SELECT doc_id, par_id, tok, substr(paragraph, (beg / 100)::BIGINT, (len / 100)::BIGINT) AS slice FROM edges JOIN (SELECT doc_id, unnest(p) AS paragraph, generate_subscripts(p, 1)::INT AS par_id FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\\n\\r]'), lambda x: x <> '') AS p FROM documents)) USING (doc_id, par_id) WHERE orth = 'the'")
+@query(EDGES + "SELECT doc_id, par_id, tok, substr(paragraph, (beg / 100)::BIGINT, (len / 100)::BIGINT) AS slice FROM edges JOIN (SELECT doc_id, unnest(p) AS paragraph, generate_subscripts(p, 1)::INT AS par_id FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\\n\\r]'), lambda x: x <> '') AS p FROM documents)) USING (doc_id, par_id)")
 def text_slices(spark, sf_dir):
     """What an edge's position cuts from its paragraph."""
     from lexloom.functions import tokens
@@ -167,15 +173,14 @@ def phonetic(spark, sf_dir):
     return P.transcribed(w, _SOUNDS)
 
 
-@query("WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents) SELECT CASE WHEN contains(word, 'f') AND contains(word, 'ph') THEN 'NotEqual' WHEN contains(word, 'f') OR contains(word, 'ph') THEN 'MultipleSolutions' ELSE 'ok' END AS status, count(*) AS n FROM v WHERE NOT (contains(word, 'f') AND contains(word, 'ph')) GROUP BY 1")
+@query("WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents) SELECT CASE WHEN contains(word, 'f') OR contains(word, 'ph') THEN 'MultipleSolutions' ELSE 'ok' END AS status, count(*) AS n FROM v GROUP BY 1")
 def phonetic_round_trip(spark, sf_dir):
     """Ph and f sound alike, so words with either come back in more than one spelling."""
     w = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))).alias("word")).distinct()
-    w = w.filter("not (contains(word, 'f') and contains(word, 'ph'))")
     return P.round_trip(w, [("ph", "", "f")], [("f", "", "f"), ("f", "", "ph")]).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(EDGES + "SELECT doc_id, par_id, tok, concat_ws(chr(9), tok::VARCHAR, orth, '_', '_', '_', beg::VARCHAR, len::VARCHAR) AS line FROM edges WHERE par_id = 1 AND tok <= 3")
+@query(EDGES + "SELECT doc_id, par_id, tok, concat_ws(chr(9), tok::VARCHAR, orth, '_', '_', '_', beg::VARCHAR, len::VARCHAR) AS line FROM edges")
 def conll_lines(spark, sf_dir):
     """K2: all tokens."""
     return sinks.conll(edges(spark, sf_dir), ["doc_id", "par_id"])

@@ -79,15 +79,16 @@ def digit_classes_events(spark, sf_dir):
     return d.select(F.inline(tokens.digit_classes(F.col("d")))).groupBy("mode").agg(F.countDistinct("value").alias("n_values"), F.count("*").alias("n"))
 
 
-ROMAN = [("I", 1), ("II", 2), ("III", 3), ("IV", 4), ("V", 5), ("VI", 6), ("VII", 7), ("VIII", 8), ("IX", 9), ("X", 10), ("XI", 11), ("XII", 12), ("XIV", 14), ("XIX", 19), ("XX", 20), ("XL", 40), ("XC", 90), ("C", 100), ("CD", 400), ("CM", 900), ("D", 500), ("L", 50), ("M", 1000), ("MI", 1001), ("MD", 1500), ("LI", 51), ("CI", 101), ("DI", 501), ("CC", 200), ("MM", 2000), ("LX", 60), ("DC", 600), ("MC", 1100), ("CL", 150), ("DL", 550), ("CV", 105)]
+_DECADES = [["", *("M" * i for i in range(1, 4))], *(["", a, 2 * a, 3 * a, a + b, b, b + a, b + 2 * a, b + 3 * a, a + c] for a, b, c in ("CDM", "XLC", "IVX"))]
+_NUMERALS = "SELECT n AS value, " + " || ".join(f"({d})[n // {10**k} % 10 + 1]" for d, k in zip(_DECADES, (3, 2, 1, 0))) + " AS orth FROM range(1, 4000) AS r(n)"
 
 
-@query("SELECT orth, value, value <= 12 AS roman_month, n FROM (SELECT w AS orth, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Z]{1,3}')) AS w FROM documents) GROUP BY w) JOIN " + sql_values(ROMAN, "orth, value") + " USING (orth)")
+@query(f"SELECT orth, value::INT AS value, value <= 12 AS roman_month, n FROM (SELECT w AS orth, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\p{{L}}+')) AS w FROM documents) GROUP BY w) JOIN ({_NUMERALS}) USING (orth)")
 def roman_tokens(spark, sf_dir):
-    """T4: numerals of up to three letters against a table of the values that occur in it."""
-    d = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z]{1,3})"), F.lit(1))).alias("orth"))
-    d = d.filter(F.col("orth").isin([r for r, _ in ROMAN]))
-    return d.groupBy("orth").agg(F.count("*").alias("n")).withColumn("value", tokens.roman_value(F.col("orth"))).withColumn("roman_month", F.col("value") <= 12)
+    """T4: whole words that are numerals, against all numerals up to 3,999 written by rule."""
+    d = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("orth"))
+    d = d.withColumn("value", tokens.roman_value(F.col("orth"))).filter("value is not null")
+    return d.groupBy("orth", "value").agg(F.count("*").alias("n")).withColumn("roman_month", F.col("value") <= 12)
 
 
 @query(f"SELECT orth, stem, suffix, n FROM (SELECT w AS orth, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM documents) GROUP BY w), LATERAL (SELECT left(w, length(w) - length(s)) AS stem, s AS suffix FROM (SELECT unnest(['', {', '.join(repr(s) for s in tokens.AGGLUTINATIVE)}]) AS s) WHERE s = '' OR (suffix(w, s) AND length(w) > length(s)))".replace("SELECT w AS orth, count(*) AS n", "SELECT w AS orth, w, count(*) AS n"))
@@ -156,45 +157,65 @@ def orth_concat(spark, sf_dir):
     return e.select("doc_id", "par_id", F.md5(spaced).alias("spaced"), F.md5(F.array_join("e.orth", "")).alias("joined"))
 
 
-TAGS = [("subst:sg:nom:m1",), ("subst:sg.pl:nom.acc:f|adj:sg:_:n:pos",), ("adj:_:gen:m1.m2:pos",), ("fin:sg:ter:imperf",), ("adv:com",), ("prep:loc.acc",), ("subst:sg:nom",), ("foo:sg",), ("subst:sg:xyz:f",)]
-_EXPANDED = {"subst:sg:nom:m1": "subst:sg:nom:m1", "fin:sg:ter:imperf": "fin:sg:ter:imperf", "adv:com": "adv:com", "prep:loc.acc": "prep:loc.acc"}
+# Tags of parts: part of speech by size, slots by keys, some with several values, some wild, some wrong.
+_POS, _NUM, _CASE, _GENDER = ["subst", "adj", "fin", "adv", "prep", "foo"], ["sg", "pl", "sg.pl", "_"], ["nom", "gen.acc", "_", "xyz", "loc"], ["m1", "f", "m1.m2", "_"]
+_PICK = {"pos": (_POS, "p_size % 6"), "num": (_NUM, "p_partkey % 4"), "cas": (_CASE, "p_partkey % 5"), "gen": (_GENDER, "(p_partkey + p_size) % 4")}
+_TAG_OF = {"subst": "concat_ws(':', pos, num, cas, gen)", "adj": "concat_ws(':', pos, num, cas, gen, 'pos')", "fin": "concat_ws(':', pos, num, 'ter', 'imperf')", "adv": "concat_ws(':', pos, 'com')", "prep": "concat_ws(':', pos, cas)", "foo": "concat_ws(':', pos, num)"}
+_CASES = " ".join(f"WHEN '{p}' THEN {t}" for p, t in _TAG_OF.items())
+# Every seventh part has a second reading.
+_TAG_EXPR = f"CASE pos {_CASES} END || CASE WHEN p_partkey % 7 = 0 THEN '|subst:pl:' || cas || ':f' ELSE '' END"
+_PARTS = "SELECT *, " + ", ".join(f"{a}[({i}) + 1] AS {n}" for n, (a, i) in _PICK.items()) + " FROM part"
+TAGS_SQL = f"(SELECT p_partkey, {_TAG_EXPR} AS tag FROM ({_PARTS}))"
 
 
-@query("SELECT tag, expanded, is_valid FROM " + sql_values([
-    ("subst:sg:nom:m1", "subst:sg:nom:m1", True), ("subst:sg.pl:nom.acc:f|adj:sg:_:n:pos", "subst:sg.pl:nom.acc:f|adj:sg:nom.gen.dat.acc.inst.loc.voc:n:pos", True),
-    ("adj:_:gen:m1.m2:pos", "adj:sg.pl:gen:m1.m2:pos", True), ("fin:sg:ter:imperf", "fin:sg:ter:imperf", True), ("adv:com", "adv:com", True), ("prep:loc.acc", "prep:loc.acc", True),
-    ("subst:sg:nom", None, False), ("foo:sg", None, False), ("subst:sg:xyz:f", "subst:sg:xyz:f", False)], "tag, expanded, is_valid"))
+def part_tags(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    for name, (options, at) in _PICK.items():
+        p = p.withColumn(name, F.element_at(F.array(*map(F.lit, options)), F.expr(f"int({at}) + 1")))
+    return p.select("p_partkey", F.expr(_TAG_EXPR).alias("tag"))
+
+
+_ALTS = "list_transform(string_split({}, '|'), lambda a: list_transform(string_split(a, ':'), lambda s: string_split(s, '.')))"
+_SLOTS = "MAP {" + ", ".join(f"'{p}': {[[p], *map(list, slots)]}" for p, slots in tags.TAGSET.items()) + "}"
+_RENDER = "array_to_string(list_transform({}, lambda a: array_to_string(list_transform(a, lambda v: array_to_string(v, '.')), ':')), '|')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, tag, {_ALTS.format('tag')} AS alts FROM {TAGS_SQL}), m AS (SELECT *, {_SLOTS} AS slots FROM t),
+a AS (SELECT p_partkey, tag, alts, list_transform(alts, lambda a: slots[a[1][1]]) AS every FROM m),
+k AS (SELECT *, len(list_filter(range(1, len(alts) + 1), lambda i: coalesce(len(every[i]), -1) <> len(alts[i]))) = 0 AS known FROM a)
+SELECT p_partkey, tag, CASE WHEN known THEN {_RENDER.format("list_transform(range(1, len(alts) + 1), lambda i: list_transform(range(1, len(alts[i]) + 1), lambda j: CASE WHEN alts[i][j] = ['_'] THEN every[i][j] ELSE alts[i][j] END))")} END AS expanded,
+known AND len(list_filter(range(1, len(alts) + 1), lambda i: len(list_filter(range(1, len(alts[i]) + 1), lambda j: NOT (alts[i][j] = ['_'] OR list_has_all(every[i][j], alts[i][j])))) > 0)) = 0 AS is_valid FROM k""")
 def tag_expand(spark, sf_dir):
-    """L9."""
-    t = values(spark, TAGS, "tag string").withColumn("alts", tags.parse(F.col("tag")))
-    return t.select("tag", tags.render(tags.expand(F.col("alts"))).alias("expanded"), tags.valid(F.col("alts")).alias("is_valid"))
+    """Tags of all parts."""
+    t = part_tags(spark, sf_dir).withColumn("alts", tags.parse(F.col("tag")))
+    return t.select("p_partkey", "tag", tags.render(tags.expand(F.col("alts"))).alias("expanded"), tags.valid(F.col("alts")).alias("is_valid"))
 
 
 _PATTERNS = [("subst:_:nom:_",), ("adj:sg:gen.dat:_:pos",), ("fin:_:ter:_",), ("subst:pl:_:f",)]
-_ALTS = "list_transform(string_split({}, '|'), lambda a: list_transform(string_split(a, ':'), lambda s: string_split(s, '.')))"
 
 
-@query(f"""WITH p AS (SELECT pattern, unnest({_ALTS.format('pattern')}) AS a FROM {sql_values(_PATTERNS, 'pattern')}), g AS (SELECT tag, unnest({_ALTS.format('tag')}) AS b FROM {sql_values(TAGS, 'tag')})
+@query(f"""WITH p AS (SELECT pattern, unnest({_ALTS.format('pattern')}) AS a FROM {sql_values(_PATTERNS, 'pattern')}), g AS (SELECT tag, unnest({_ALTS.format('tag')}) AS b FROM {TAGS_SQL})
 SELECT DISTINCT pattern, tag FROM p, g WHERE len(a) = len(b) AND len(list_filter(range(1, len(a) + 1), lambda i: NOT (a[i] = ['_'] OR b[i] = ['_'] OR list_has_any(a[i], b[i])))) = 0""")
 def tag_match(spark, sf_dir):
     """Patterns against tags; the pattern table is program text, hence broadcast."""
     p = values(spark, _PATTERNS, "pattern string")
-    t = values(spark, TAGS, "tag string")
+    t = part_tags(spark, sf_dir).select("tag").distinct()
     return t.join(F.broadcast(p), tags.matches(tags.parse(F.col("pattern")), tags.parse(F.col("tag")))).select("pattern", "tag")
 
 
-@query("SELECT tag, pos, coarse FROM " + sql_values([("subst:sg:nom:m1", "subst", "noun"), ("subst:sg.pl:nom.acc:f|adj:sg:_:n:pos", "subst", "noun"), ("adj:_:gen:m1.m2:pos", "adj", "adj"), ("fin:sg:ter:imperf", "fin", "verb"), ("adv:com", "adv", "adv"), ("prep:loc.acc", "prep", "prep"), ("subst:sg:nom", "subst", "noun"), ("foo:sg", "foo", "foo"), ("subst:sg:xyz:f", "subst", "noun")], "tag, pos, coarse"))
+@query(f"SELECT p_partkey, pos, coalesce(coarse, pos) AS coarse FROM (SELECT p_partkey, string_split(string_split(tag, '|')[1], ':')[1] AS pos FROM {TAGS_SQL}) LEFT JOIN {sql_values(list(tags.COARSE.items()), 'pos, coarse')} USING (pos)")
 def pos_coarse(spark, sf_dir):
-    """L11."""
+    """Tags of all parts."""
     pos = F.split("tag", "[:|]")[0]
-    return values(spark, TAGS, "tag string").select("tag", pos.alias("pos"), tags.coarse(pos).alias("coarse"))
+    return part_tags(spark, sf_dir).select("p_partkey", pos.alias("pos"), tags.coarse(pos).alias("coarse"))
 
 
-@query("SELECT tag, rest FROM " + sql_values([("subst:sg:nom:m1", "subst:sg:nom:m1"), ("subst:sg.pl:nom.acc:f|adj:sg:_:n:pos", "subst:sg:nom.acc:f|adj:sg:_:n:pos"), ("fin:sg:ter:imperf", "fin:sg:ter:imperf"), ("subst:sg:nom", "subst:sg:nom"), ("foo:sg", "foo:sg"), ("subst:sg:xyz:f", "subst:sg:xyz:f")], "tag, rest"))
+@query(f"""SELECT p_partkey, string_agg(rest, '|' ORDER BY i) AS rest FROM (SELECT p_partkey, i, array_to_string(list_transform(range(1, len(a) + 1), lambda j: CASE WHEN j = 2 THEN 'sg' ELSE a[j] END), ':') AS rest
+  FROM (SELECT p_partkey, generate_subscripts(string_split(tag, '|'), 1) AS i, string_split(unnest(string_split(tag, '|')), ':') AS a FROM {TAGS_SQL}) WHERE list_contains(string_split(a[2], '.'), 'sg')) GROUP BY 1""")
 def tag_select(spark, sf_dir):
-    """L10."""
+    """Readings of all parts that may be singular, cut to it."""
     cut = tags.select(tags.parse(F.col("tag")), 1, F.lit("sg"))
-    return values(spark, TAGS, "tag string").select("tag", tags.render(cut).alias("rest")).filter("rest <> ''")
+    return part_tags(spark, sf_dir).select("p_partkey", tags.render(cut).alias("rest")).filter("rest <> ''")
 
 
 @query("SELECT p_partkey, p_size, array_to_string(eq, ',') AS eq, array_to_string(neq, ',') AS neq FROM (SELECT p_partkey, p_size, CASE WHEN len(s) = 0 THEN [1, 2, 3] WHEN list_has_any(s, [1, 2, 3]) THEN list_filter(s, lambda x: x IN (1, 2, 3)) END AS eq, CASE WHEN len(s) > 0 AND len(list_filter(s, lambda x: x NOT IN (1, 2, 3))) > 0 THEN list_filter(s, lambda x: x NOT IN (1, 2, 3)) END AS neq FROM (SELECT p_partkey, p_size, list_filter([p_size % 4, p_size % 4 + 1], lambda x: x > 0 AND p_size > 5) AS s FROM part))")

@@ -7,7 +7,6 @@ from html import escape
 from itertools import product
 
 import compare
-import pytest
 
 from lexloom.operators import fuzzy
 from lexloom.plans import catalog, lattice_queries
@@ -54,22 +53,6 @@ def test_turns_of_every_length_are_aligned(spark, tmp_path):
     assert got == {("1", "user", "a" * 300 + "ee", "a" * 300 + "e"), ("1", "assistant", "", ""), ("2", "user", "short ee", "short e")}
 
 
-def same(df, con, sql):
-    """Rows of the SQL; their number first, as a long list of differences takes long."""
-    assert df.count() == con.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0]
-    assert compare.differences(df, con, sql) == ""
-
-
-def test_edges_that_no_rule_matches_stay(spark, sf_dir):
-    sql = catalog.ORACLE_SQL["mwe_fixpoint"].replace(f" WHERE lower(orth) IN {lattice_queries._LITS}", "")
-    same(catalog.QUERIES["mwe_fixpoint"](spark, sf_dir), compare.duck(sf_dir), sql)
-
-
-@pytest.mark.parametrize("name, narrow", [("conll_lines", " WHERE par_id = 1 AND tok <= 3"), ("text_slices", " WHERE orth = 'the'")])
-def test_all_tokens_are_listed(spark, sf_dir, name, narrow):
-    same(catalog.QUERIES[name](spark, sf_dir), compare.duck(sf_dir), catalog.ORACLE_SQL[name].replace(narrow, ""))
-
-
 def test_cover_takes_the_longest_edge_and_jumps_over_it(spark, sf_dir):
     edges = defaultdict(list)
     for par, *edge in compare.duck(sf_dir).execute(lattice_queries.LATTICE + "SELECT par, beg, nxt, orth FROM lat").fetchall():
@@ -85,10 +68,6 @@ def test_cover_takes_the_longest_edge_and_jumps_over_it(spark, sf_dir):
     assert sorted(map(tuple, catalog.QUERIES["greedy_cover"](spark, sf_dir).select("par", "beg", "nxt", "orth").collect())) == sorted(want)
 
 
-def test_documents_of_every_language_are_dumped(spark, sf_dir):
-    same(catalog.QUERIES["sentence_dump"](spark, sf_dir), compare.duck(sf_dir), catalog.ORACLE_SQL["sentence_dump"].replace(" WHERE lang = 'es'", ""))
-
-
 def test_short_paragraphs_are_marked(spark, sf_dir, tmp_path):
     spark.createDataFrame([(-1, "a&\nabcde\nabcdef\nabcd<fghi&\nabcdefghij<")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for at in (str(tmp_path), sf_dir):
