@@ -52,7 +52,10 @@ def stem_by_priority(forms: DataFrame, selectors: DataFrame, key: str) -> DataFr
 
     selectors: suffix, priority.
     """
-    hit = forms.join(F.broadcast(selectors), F.endswith("orth", "suffix")).withColumn("stem", F.expr("left(orth, length(orth) - length(suffix))"))
+    from lexloom.operators.morphology import suffixes
+
+    longest = selectors.agg(F.max(F.length("suffix"))).first()[0] or 0
+    hit = forms.withColumn("suffix", F.explode(suffixes(F.col("orth"), longest))).join(selectors, "suffix").withColumn("stem", F.expr("left(orth, length(orth) - length(suffix))"))
     best = hit.groupBy(key).agg(F.min_by(F.struct("stem"), F.struct("priority", "stem")).alias("s"), F.min("priority").alias("p"))
     tied = hit.join(best.select(key, "p"), key).filter("priority = p").groupBy(key).agg(F.countDistinct("stem").alias("n"))
     return best.join(tied, key).select(key, F.when(F.col("n") == 1, F.col("s.stem")).otherwise("").alias("stem"))

@@ -62,7 +62,7 @@ def matches(edges: DataFrame, rules: DataFrame) -> DataFrame:
 
 def produce(found: DataFrame, productions: DataFrame) -> DataFrame:
     """New edges of matches (M4). productions: rule_id, cat."""
-    made = found.join(F.broadcast(productions), "rule_id")
+    made = found.join(productions, "rule_id")  # a rule table; the engine broadcasts it while its size allows
     return made.select(*KEYS, "beg", (F.col("end_") - F.col("beg")).alias("len"), "nxt", "orth", "cat").distinct()
 
 
@@ -156,5 +156,5 @@ def token_trie(pars_tokens: DataFrame, phrases: DataFrame, ignore_case: bool = T
     low = (lambda c: F.transform(c, lambda x: F.lower(x))) if ignore_case else (lambda c: c)
     toks = pars_tokens.select(*KEYS, low("toks").alias("toks")).select(*KEYS, "toks", F.posexplode("toks").alias("at", "first"))
     want = phrases.select("phrase_id", low("words").alias("words")).withColumn("first", F.element_at("words", 1))
-    hit = toks.join(F.broadcast(want), "first").filter("slice(toks, at + 1, size(words)) = words")
+    hit = toks.join(want, "first").filter("slice(toks, at + 1, size(words)) = words")
     return hit.select(*KEYS, "phrase_id", (F.col("at") + 1).alias("at"))

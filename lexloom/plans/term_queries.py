@@ -117,7 +117,7 @@ def _graphs(spark, sf_dir):
 
 @query()
 def graph_rewrite(spark, sf_dir):
-    """Q14-Q17, Q10, Q13."""
+    """Q14-Q17, Q10."""
     return S.rewritten(_graphs(spark, sf_dir), "term", _GRAPH_RULES).select("l_orderkey", "graph", "status")
 
 

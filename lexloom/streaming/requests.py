@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha1
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +44,24 @@ def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str,
             done = done.filter("status = 'ok'")
         done.write.mode("overwrite").json(f"{out}/batch={number}")
 
-    where = checkpoint or f"{shared_dir(spark)}/lexloom-stream-{abs(hash(out))}"
+    # A digest of the folder's name: the same in every process, so a restarted driver goes on where the last one stopped.
+    where = checkpoint or f"{shared_dir(spark)}/lexloom-stream-{sha1(out.encode()).hexdigest()}"
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", where).trigger(availableNow=True).start()
 
 
 def counted_once(spark: SparkSession, path: str, keys: list[str], value: str, name: str) -> DataFrame:
-    """Running counts over all files of a folder, read as a stream to its end; the result as a table."""
-    query = running_counts(file_stream(spark, path), keys, value).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """Running counts over all files of a folder, read as a stream to its end.
+
+    Each trigger writes the counts so far to a folder of its own, in the shared folder; the last one is the result.
+    """
+    out = f"{shared_dir(spark)}/lexloom-counts-{name}"
+    counts = running_counts(file_stream(spark, path), keys, value)
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last[:] = [number]
+
+    query = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counts.schema).parquet(f"{out}/batch={last[0]}") if last else spark.createDataFrame([], counts.schema)
