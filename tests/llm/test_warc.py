@@ -66,3 +66,12 @@ def test_frames_are_plain_zstandard_and_checked(spark):
         broken = bytearray(data)
         broken[table[0][1] // 2] ^= 255
         A.read_frame(io.BytesIO(bytes(broken)), table[0])
+
+
+def test_archives_are_closed_after_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(A, "ARCHIVE_BYTES", 30_000)
+    pages = spark.createDataFrame(rows(), PAGES)
+    index = A.write_archives(pages, fresh_dir(spark, "test"))
+    paths = sorted(r[0] for r in index.select("path").distinct().collect())
+    assert len(paths) > 4  # more than one a task
+    assert sorted(str(tuple(r)) for r in A.read_archives(spark, paths).collect()) == want()
