@@ -2,6 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; the stages before the last
 return the columns of documents. Rules, parameters and odd cases: the operators' docstrings.
+Columns that documents have besides its own stay as they are, whatever their names; tables
+without rows give no rows at every stage.
 """
 
 from __future__ import annotations
@@ -13,30 +15,50 @@ from lexloom.llm.common import small_batches, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null, empty and short texts (fewer than 10 words) fail the base rules and go. Texts of any
+    length are measured whole; repeated rows are judged each alone, so all stay or all go.
+    """
     small_batches(spark)
     return quality_rules.quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that of the smallest id."""
+    """One document of each group of linked fingerprints stays, that of the smallest id.
+
+    Null and empty texts have fingerprint zero and are one group. Rows that repeat an id count
+    as one document; rows without an id go if a row of their group has one, else all stay.
+    """
     small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; so does everything where the benchmark is empty.
+    Items of fewer than five words count if whole and exact. Repeated rows share their fate.
+    """
     small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their leaf's epochs have them; a leaf's last one is cut to its tokens."""
+    """Documents as often as their leaf's epochs have them; a leaf's last one is cut to its tokens.
+
+    Null and texts without a word have no tokens and go. Null languages and sources are leaves of
+    their own. Repeated rows count each; ties in a leaf's order go by id, then length.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left, as reading them back gives them."""
+    """Token files of what is left, as reading them back gives them.
+
+    A null or empty text is the end id alone. Null ids come first; repeated ids have a row each.
+    No rows give no file and no row. Columns beyond doc_id and text are not read.
+    """
     small_batches(spark)
     return token_binary.write_and_read(docs, queries.word_bpe(), end_id=1, by_word=True)
 
