@@ -28,7 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays, that of the smallest id.
 
     Null and empty texts have fingerprint zero and are one group. Rows that repeat an id count
-    as one document; rows without an id go if a row of their group has one, else all stay.
+    as one document. Rows without an id can't be told apart: all of them stay if one is in a
+    group in which nothing has an id, else all go.
     """
     small_batches(spark)
     return simhash.keep_one(docs)
