@@ -90,7 +90,7 @@ class WordIds:
 
     def __init__(self, merger: PieceMerger, one_by_one: Callable[[list[str]], list[bytes]]):
         self.merger, self.one_by_one = merger, one_by_one
-        self.slots = np.empty(1 << _SLOTS_BITS, np.int32)
+        self.slots = np.empty((2, 1 << _SLOTS_BITS), np.int32)
         self.keys = np.empty((3, ENTRIES * 2), np.uint64)
         self.first, self.size = np.empty(ENTRIES * 2, np.int64), np.empty(ENTRIES * 2, np.int64)
         self._forget()
@@ -129,8 +129,11 @@ class WordIds:
         size = end - start
         entry = np.empty(len(start), np.int64)
         plain = ~odd & (size <= KEY_BYTES)
-        at = np.flatnonzero(plain)
-        entry[at] = self._find(np.concatenate([low, np.zeros(KEY_BYTES, np.uint8)]), start[at], size[at])
+        low = np.concatenate([low, np.zeros(KEY_BYTES, np.uint8)])
+        # Pieces of up to eight bytes, most of all, are one number each; they have slots of their own.
+        for wide, there in enumerate((plain & (size <= 8), plain & (size > 8))):
+            at = np.flatnonzero(there)
+            entry[at] = self._find(low, start[at], size[at], wide)
         rest = np.flatnonzero(~plain)
         if len(rest):
             entry[rest] = self._one_by_one([joined[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist())])
@@ -142,31 +145,34 @@ class WordIds:
         for i, a, b in zip(owners, [0, *done], done):
             out[i].append(ids[a:b])
 
-    def _find(self, low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The entry of each piece; new ones are merged and entered."""
-        windows = np.lib.stride_tricks.as_strided(low, (len(low) - 7, 8), (1, 1))
-        keys = [windows[start + 8 * j].view("<u8").reshape(-1) & _MASKS[np.clip(size - 8 * j, 0, 8)] for j in range(3)]
-        h = keys[0] * _C0 ^ keys[1] * _C1 ^ keys[2] * _C2
+    def _find(self, low: np.ndarray, start: np.ndarray, size: np.ndarray, wide: int) -> np.ndarray:
+        """The entry of each piece; new ones are merged and entered. ``wide``: of more than eight bytes."""
+        windows = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+        keys = [windows[start + 8 * j] & _MASKS.take(np.clip(size - 8 * j, 0, 8)) for j in range(3 if wide else 1)]
+        h = keys[0] * _C0
+        if wide:
+            h ^= keys[1] * _C1 ^ keys[2] * _C2
         h ^= h >> np.uint64(31)
+        slots = self.slots[wide]
         slot = (h * _C3 >> np.uint64(64 - _SLOTS_BITS)).astype(np.int64)
         entry, live, new = np.empty(len(start), np.int64), np.arange(len(start)), []
         before = self.count
         while len(live):
-            found = self.slots[slot[live]]
+            found = slots.take(slot.take(live))
             fresh = live[found < 0]
             if len(fresh):
                 # The last to write a free slot has it; the others look again, for it may be theirs.
-                self.slots[slot[fresh]] = fresh
-                fresh = fresh[self.slots[slot[fresh]] == fresh]
+                slots[slot[fresh]] = fresh
+                fresh = fresh[slots[slot[fresh]] == fresh]
                 own = np.arange(self.count, self.count + len(fresh))
                 self._room(self.count + len(fresh))
-                self.slots[slot[fresh]] = own
-                for j in range(3):
-                    self.keys[j, own] = keys[j][fresh]
+                slots[slot[fresh]] = own
+                for j, key in enumerate(keys):
+                    self.keys[j, own] = key[fresh]
                 self.count += len(fresh)
                 new.append(fresh)
-                found = self.slots[slot[live]]
-            same = (self.keys[0, found] == keys[0][live]) & (self.keys[1, found] == keys[1][live]) & (self.keys[2, found] == keys[2][live])
+                found = slots.take(slot.take(live))
+            same = np.logical_and.reduce([self.keys[j].take(found) == key.take(live) for j, key in enumerate(keys)])
             entry[live[same]] = found[same]
             live = live[~same]
             slot[live] = slot[live] + 1 & (1 << _SLOTS_BITS) - 1

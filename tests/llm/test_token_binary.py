@@ -127,6 +127,21 @@ def test_bytes_an_id_of_supplied_texts(sf_dir):
     assert coded(ids) / len(ids) < 0.98
 
 
+def test_two_words_end_a_block():
+    """Five ids that all but certainly come take no word of their own; carries reach over full words."""
+    words = R.encode_blocks(np.zeros(5, np.uint16), R.start_table(np.zeros(5, np.uint16)))[0]
+    assert words.tolist() == [2]
+    assert R._carry(np.array([7, 0xFFFF, 0xFFFF, 0x10005, 0, 0x1FFFF], np.uint32)).tolist() == [8, 0, 0, 5, 1, 0xFFFF]
+
+
+def test_pieces_around_eight_bytes():
+    """Pieces of up to eight bytes and longer ones that start alike are told apart."""
+    words = ["abcdefgh"[:n] + "ijklmnopqrstuvwxyz"[:m] for n in (1, 7, 8) for m in (0, 1, 8, 9, 16, 17)]
+    texts = [" ".join(words), " ".join(reversed(words)), *words]
+    got = B.WordEncoder(PATH, True).encode(texts)
+    assert [x.tolist() for x in got] == whole(texts)
+
+
 def test_uniform_and_single_ids():
     for x in (np.zeros(10_000, np.uint16), np.arange(65536).astype(np.uint16), np.array([65535], np.uint16), np.array([0, 65535] * 5000, np.uint16)):
         coded(x)
