@@ -151,10 +151,13 @@ def assemble(edges: DataFrame, groups: int = 10) -> DataFrame:
 def token_trie(pars_tokens: DataFrame, phrases: DataFrame, ignore_case: bool = True) -> DataFrame:
     """Places where a phrase's tokens stand in a row (T14, T18): first-token equi-join, then the rest is compared.
 
-    pars_tokens: KEYS, toks (array). phrases: phrase_id, words (array).
+    pars_tokens: KEYS, toks (array). phrases: phrase_id, words (array). Each place goes into the join
+    with as many tokens as the longest phrase has, not with its whole row of tokens.
     """
     low = (lambda c: F.transform(c, lambda x: F.lower(x))) if ignore_case else (lambda c: c)
+    want = phrases.select("phrase_id", low("words").alias("words")).withColumn("first", F.get("words", F.lit(0)))
+    longest, n = want.agg(F.max(F.size("words")), F.count("*")).first()
     toks = pars_tokens.select(*KEYS, low("toks").alias("toks")).select(*KEYS, "toks", F.posexplode("toks").alias("at", "first"))
-    want = phrases.select("phrase_id", low("words").alias("words")).withColumn("first", F.element_at("words", 1))
-    hit = toks.join(want, "first").filter("slice(toks, at + 1, size(words)) = words")
+    toks = toks.select(*KEYS, "at", "first", F.slice("toks", F.col("at") + 1, max(longest or 1, 1)).alias("part"))
+    hit = toks.join(_small(want, n), "first").filter("slice(part, 1, size(words)) = words")
     return hit.select(*KEYS, "phrase_id", (F.col("at") + 1).alias("at"))

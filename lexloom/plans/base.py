@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,8 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small rule or lexicon table; its size is that of the program text."""
-    return spark.createDataFrame(rows, schema)
+    """A small rule or lexicon table; its size is that of the program text.
+
+    It is made from Arrow, so the plan holds the rows themselves and the engine knows how few they
+    are: joins with it are broadcast. A table from Python rows has no known size, and both sides of
+    a join with it would be shuffled.
+    """
+    kind = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kind)
+    columns = list(zip(*rows)) or [()] * len(fields)
+    plain = lambda v: list(v.items()) if isinstance(v, dict) else v
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(map(plain, c), f.type) for c, f in zip(columns, fields)], schema=fields), kind)
 
 
 def sql_values(rows: list[tuple], names: str) -> str:
