@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions import tags
+from lexloom.functions import tags, tokens
 from lexloom.operators import lattice as G
 from lexloom.operators.chart import combine, read
 from lexloom.operators.grouped import Columns, by_key
@@ -18,7 +18,8 @@ from lexloom.operators.grouped import Columns, by_key
 
 def case_variants(orth: Column) -> Column:
     """A form as it stands, in small letters, with a first capital, in capitals; each once."""
-    return F.array_distinct(F.array(orth, F.lower(orth), F.concat(F.upper(F.substring(orth, 1, 1)), F.lower(F.substring(orth, 2, 1_000_000))), F.upper(orth)))
+    low, up = tokens.lower, tokens.upper
+    return F.array_distinct(F.array(orth, low(orth), F.concat(up(F.substring(orth, 1, 1)), low(F.substring(orth, 2, 1_000_000))), up(orth)))
 
 
 def lemmatised(parts: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,3 +43,9 @@ def test_phrases_meet_bounded_rows(spark, sf_dir):
     found = M.token_trie(toks, values(spark, [(1, ["in", "the"]), (2, ["in"]), (3, ["the", "end", "in", "it"]), (4, [])], "phrase_id int, words array<string>"))
     assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 1), (1, 1, 2, 1), (1, 1, 2, 4)]
     assert M.token_trie(toks, values(spark, [], "phrase_id int, words array<string>")).collect() == []
+
+
+def test_case_is_that_of_sql(spark, tmp_path):
+    texts = ["ß ßen SS sS ssö ßöen İen ΟΔΟΣ ŉen ᾀ straßen Ss"]
+    at, con = odd_texts(spark, tmp_path, texts, ("Ss ssö SSÖ STRASS straß οδοσ ΟΔΟΣ i ẞ ᾈ ʼN",))
+    assert compare.differences(catalog.QUERIES["lemmatise_tokens"](spark, at), con, catalog.ORACLE_SQL["lemmatise_tokens"]) == ""
