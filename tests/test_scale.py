@@ -5,6 +5,7 @@ from pathlib import Path
 import compare
 import duckdb
 
+from lexloom.operators import chart, semantics
 from lexloom.operators import mwe as M
 from lexloom.plans import catalog
 from lexloom.plans.base import values
@@ -49,3 +50,38 @@ def test_case_is_that_of_sql(spark, tmp_path):
     texts = ["ß ßen SS sS ssö ßöen İen ΟΔΟΣ ŉen ᾀ straßen Ss"]
     at, con = odd_texts(spark, tmp_path, texts, ("Ss ssö SSÖ STRASS straß οδοσ ΟΔΟΣ i ẞ ᾈ ʼN",))
     assert compare.differences(catalog.QUERIES["lemmatise_tokens"](spark, at), con, catalog.ORACLE_SQL["lemmatise_tokens"]) == ""
+
+
+def test_interps_meet_rules_by_one_tag(spark, sf_dir, tmp_path):
+    got = plan(catalog.QUERIES["tag_subset_interps"](spark, sf_dir))
+    assert "SortAggregate" not in got and "hits" not in got  # nothing is counted for rules that stand once
+    rows = [(1, "a", "b", 2), (1, "c", "d", 1), (2, "a", "b", 1), (3, "ab", "c", 2), (4, None, "c", 3), (5, "a", "bc", None), (None, "a", "b", 2), (6, "c", "d", 1), (6, "c", "d", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert compare.differences(catalog.QUERIES["tag_subset_interps"](spark, str(tmp_path)), duck(tmp_path), catalog.ORACLE_SQL["tag_subset_interps"]) == ""
+
+
+def test_equal_sentences_are_parsed_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(chart, "closure", lambda c, *more, f=chart.closure: calls.append(1) or f(c, *more))
+    program, kept = chart._parse, {}
+    more = {"keys": ["k"], "kept": kept, "root": chart.read("s"), "max_cost": 1, "timeout": 30.0, "pro": ()}
+    words = {"lnode": [0, 1], "rnode": [1, 2], "orth": ["A", "N"], "category": ["np", "s\\np"]}
+    one, two = (program({"k": [k, k]} | words, **more) for k in (1, 2))
+    assert len(calls) == 1 and one["status"] == ["Parsed"] and one | {"k": [2]} == two
+    assert program({"k": [3, 3]} | words | {"category": ["np", None]}, **more)["status"] == ["PartialParsed"] and len(calls) == 2
+
+
+def test_sentences_are_read_once(spark, sf_dir):
+    assert plan(catalog.QUERIES["chart_parse"](spark, sf_dir)).count("lineitem.parquet") == 1
+
+
+def test_equal_terms_are_computed_once(spark):
+    terms = spark.createDataFrame([(i, '{"a":%d}' % (i % 3)) for i in range(300)], "k int, term string").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def f(text):
+        seen.add(1)
+        return (text, "ok")
+
+    got = semantics.mapped(terms, "term", f, ("normal", "status")).collect()
+    assert seen.value == 3 and all(r["normal"] == r["term"] for r in got) and len(got) == 300
