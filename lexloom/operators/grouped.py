@@ -10,13 +10,34 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 OUT_ROWS = 20_000
+#: A table up to so many rows is broadcast.
+BROADCAST_ROWS = 100_000
 Columns = dict[str, list]
 
 
+def small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def apart(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key stands once, and the others, or None where there are none.
+
+    What holds of one row can be made of that row alone; only the others have to meet. One count of
+    the key column decides.
+    """
+    again = rows.groupBy(F.col(key).alias("__again")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__again")
+    n = again.count()
+    if not n:
+        return rows, None
+    same = rows[key].eqNullSafe(F.col("__again"))
+    return rows.join(small(again, n), same, "left_anti"), rows.join(small(again, n), same, "left_semi")
+
+
 def by_key(rows: DataFrame, keys: list[str], order: list[str], program: Callable[[Columns], Columns], schema: StructType | str) -> DataFrame:
     """Rows of ``program`` for each key: it gets and returns columns as lists, in the given order."""
     out_schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexloom.operators.grouped import apart, small
+
 
 def suffixes(form: Column, longest: int) -> Column:
     """The endings of a form, shortest (empty) first, at most ``longest`` characters."""
@@ -94,11 +96,25 @@ def compose_rules(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def assign_interps(rules: DataFrame, interps: DataFrame) -> DataFrame:
-    """Interps whose tags are all among a rule's (L19). rules: rule_id, tags. interps: interp, tags."""
-    want = interps.withColumn("n", F.size("tags")).select("interp", "n", F.explode("tags").alias("k", "v"))
-    have = rules.select("rule_id", F.explode("tags").alias("k", "v"))
-    hits = have.join(want, ["k", "v"]).groupBy("rule_id", "interp", "n").agg(F.count("*").alias("hits"))
-    return hits.filter("hits = n").select("rule_id", "interp")
+    """Interps whose tags are all among a rule's (L19). rules: rule_id, tags. interps: interp, tags.
+
+    An interp meets the rules by one of its tags alone, and the others are compared in place, so a
+    rule makes no row for what it only shares a tag with. Rows of one rule_id are one rule, whose
+    equal tags count one by one; those are counted, the few that there may be.
+    """
+    pairs = interps.select("interp", F.explode(F.map_entries("tags")).alias("tag"))
+    want = pairs.groupBy("interp").agg(F.array_sort(F.collect_set("tag")).alias("every"))
+    n = want.count()
+    own = want.select("interp", "every", F.col("every")[0]["key"].alias("k"), F.col("every")[0]["value"].alias("v"))
+    single, repeated = apart(rules, "rule_id")
+    met = single.select("rule_id", "tags", F.explode("tags").alias("k", "v")).join(small(own, n), ["k", "v"])
+    fits = F.forall("every", lambda t: F.coalesce(F.try_element_at("tags", t["key"]) == t["value"], F.lit(False)))
+    found = met.filter(fits).select("rule_id", "interp")
+    if repeated is None:
+        return found
+    each = want.select("interp", F.size("every").alias("n"), F.explode("every").alias("t")).select("interp", "n", "t.key", "t.value")
+    hits = repeated.select("rule_id", F.explode("tags")).join(small(each, n), ["key", "value"]).groupBy("rule_id", "interp", "n").agg(F.count("*").alias("hits"))
+    return found.unionByName(hits.filter("hits = n").select("rule_id", "interp"))
 
 
 def by_case_set(forms: DataFrame, key: str, form: str, case: str) -> DataFrame:

@@ -122,10 +122,12 @@ def tag_subset_interps(spark, sf_dir):
     """Parts as rules with tags; interps for brands, brands with types, one parity."""
     p = table(spark, sf_dir, "part")
     r = p.select(F.col("p_partkey").alias("rule_id"), F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type", F.lit("parity"), (F.col("p_size") % 2).cast("string")).alias("tags"))
-    one = p.select(F.concat(F.lit("b:"), "p_brand").alias("interp"), F.create_map(F.lit("brand"), "p_brand").alias("tags"))
-    two = p.select(F.concat(F.lit("bt:"), "p_brand", "p_type").alias("interp"), F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type").alias("tags"))
+    # Distinct before they are maps: those can't be hashed and would be sorted, with all parts in a task.
+    brands, kinds = p.select("p_brand").distinct(), p.select("p_brand", "p_type").distinct()
+    one = brands.select(F.concat(F.lit("b:"), "p_brand").alias("interp"), F.create_map(F.lit("brand"), "p_brand").alias("tags"))
+    two = kinds.select(F.concat(F.lit("bt:"), "p_brand", "p_type").alias("interp"), F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type").alias("tags"))
     fixed = values(spark, [("p0", {"parity": "0"}), ("no", {"other": "x"})], "interp string, tags map<string,string>")
-    return M.assign_interps(r, one.unionByName(two).dropDuplicates(["interp"]).unionByName(fixed))
+    return M.assign_interps(r, one.unionByName(two).unionByName(fixed))
 
 
 @query(f"SELECT a.rule_id || '+' || b.rule_id AS rule_id, a.find || b.find AS find, a.set_ || b.set_ AS set_ FROM {RULE_SQL.replace('AS t', 'AS a')}, {RULE_SQL.replace('AS t', 'AS b')} WHERE a.pref = '' AND b.pref = ''")
