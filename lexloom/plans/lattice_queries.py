@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexloom.functions import tokens
 from lexloom.operators import corpus as C
@@ -24,13 +25,15 @@ _LIM = LATTICE.replace("WITH base", "WITH RECURSIVE base")
 
 
 def lattice(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    base = li.filter(~((F.col("l_orderkey") % 11 == 0) & (F.col("l_linenumber") == 2))).select(
-        F.col("l_orderkey").alias("par"), F.col("l_linenumber").alias("beg"), (F.col("l_linenumber") + 1).alias("nxt"), F.col("l_returnflag").alias("orth"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("unannotated"), F.lit(1).alias("size")
-    )
-    skip = li.filter("l_quantity > 25").select(F.col("l_orderkey").alias("par"), F.col("l_linenumber").alias("beg"), (F.col("l_linenumber") + 2).alias("nxt"), F.concat("l_returnflag", F.lit("+")).alias("orth"), F.lit(0).alias("unannotated"), F.lit(2).alias("size"))
-    lim = li.groupBy(F.col("l_orderkey").alias("par")).agg(F.lit(1).alias("first"), (F.max("l_linenumber") + 1).alias("last"))
-    return base.unionByName(skip).join(lim, "par").filter("nxt <= last")
+    """One read and one shuffle: an order's last node by a window, then the edges of each line."""
+    li = table(spark, sf_dir, "lineitem").filter("l_orderkey is not null")
+    li = li.select(F.col("l_orderkey").alias("par"), F.col("l_linenumber").alias("beg"), F.col("l_returnflag").alias("orth"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("unannotated"), (F.col("l_quantity") > 25).alias("wide"))
+    li = li.withColumn("last", F.max("beg").over(W.partitionBy("par")) + 1)
+    edge = lambda width, orth, unannotated: F.struct((F.col("beg") + width).alias("nxt"), orth.alias("orth"), unannotated.alias("unannotated"), F.lit(width).alias("size"))
+    one = F.when(~((F.col("par") % 11 == 0) & (F.col("beg") == 2)), edge(1, F.col("orth"), F.col("unannotated")))
+    two = F.when(F.col("wide"), edge(2, F.concat("orth", F.lit("+")), F.lit(0)))
+    found = li.select("par", "beg", "last", F.explode(F.array(one, two)).alias("e")).filter("e.nxt <= last")
+    return found.select("par", "beg", "e.nxt", "e.orth", "e.unannotated", "e.size", F.lit(1).alias("first"), "last")
 
 
 _REACH = _LIM + ", r(par, node) AS (SELECT par, first FROM lim UNION SELECT l.par, l.nxt FROM r JOIN lat l ON l.par = r.par AND l.beg = r.node)"
@@ -68,13 +71,13 @@ k AS (SELECT par, beg, (sum(s) OVER (PARTITION BY par ORDER BY beg ROWS BETWEEN
 @query(_CUT + "SELECT par, beg, nxt, orth, component FROM lat JOIN k USING (par, beg)")
 def cutpoint_components(spark, sf_dir):
     """G11."""
-    return G.components(lattice(spark, sf_dir), ["par"]).select("par", "beg", "nxt", "orth", "component")
+    return G.components(lattice(spark, sf_dir).select("par", "beg", "nxt", "orth"), ["par"]).select("par", "beg", "nxt", "orth", "component")
 
 
 @query(LATTICE.replace("lat AS (", "lat AS MATERIALIZED (") + ", n AS MATERIALIZED (SELECT par, node, dense_rank() OVER (PARTITION BY par ORDER BY node) - 1 AS k FROM (SELECT par, beg AS node FROM lat UNION SELECT par, nxt FROM lat)) SELECT l.par, l.orth, a.k::INT AS lnode, b.k::INT AS rnode FROM lat l JOIN n a ON a.par = l.par AND a.node = l.beg JOIN n b ON b.par = l.par AND b.node = l.nxt")
 def lattice_renumber(spark, sf_dir):
     """G15, G16."""
-    return G.renumbered(lattice(spark, sf_dir), ["par"]).select("par", "orth", "lnode", "rnode")
+    return G.renumbered(lattice(spark, sf_dir).select("par", "beg", "nxt", "orth"), ["par"]).select("par", "orth", "lnode", "rnode")
 
 
 @query(LATTICE + "SELECT par, count(*) AS n, count(DISTINCT nxt) AS n_nodes FROM lat WHERE orth <> 'A' GROUP BY 1")
@@ -260,8 +263,6 @@ def concordance_top(spark, sf_dir):
     got = C.kwic(_pars(spark, sf_dir), _toks(), lambda t: F.lower(t) == "thing")
     top = got.orderBy(F.lower("hit"), F.reverse(F.lower("left")), "left", "hit", "right", "doc_id", "par_id", "at").limit(100)
     keys = [F.lower("hit"), F.reverse(F.lower("left")), F.col("left"), F.col("hit"), F.col("right"), F.col("doc_id"), F.col("par_id"), F.col("at")]
-    from pyspark.sql.window import Window as W
-
     return top.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*keys)).cast("long"))
 
 

@@ -85,3 +85,25 @@ def test_equal_terms_are_computed_once(spark):
 
     got = semantics.mapped(terms, "term", f, ("normal", "status")).collect()
     assert seen.value == 3 and all(r["normal"] == r["term"] for r in got) and len(got) == 300
+
+
+def test_lattices_are_read_and_shuffled_once(spark, sf_dir):
+    for name in ("lattice_renumber", "cutpoint_components"):
+        got = plan(catalog.QUERIES[name](spark, sf_dir))
+        assert got.count("lineitem.parquet") == 1 and got.count("Exchange hashpartitioning") == 1 and "Join" not in got
+    assert "Join" not in plan(catalog.QUERIES["sentence_prepare"](spark, sf_dir))
+
+
+def test_lattices_of_odd_lines(spark, tmp_path):
+    lines = [(1, 1, "A", 0.0, 30.0), (1, 2, "N", 0.1, 30.0), (1, 2, "N", 0.1, 30.0), (1, 5, None, None, 30.0), (11, 2, "R", 0.0, None), (11, 1, "N", None, 1.0), (None, 1, "A", 0.0, 30.0), (2, None, "A", 0.0, 30.0), (3, 1, "N", 0.0, 10.0), (4, 3, "R", 0.0, 10.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("lattice_renumber", "cutpoint_components", "sentence_prepare", "lattice_reachable"):
+        assert compare.differences(catalog.QUERIES[name](spark, str(tmp_path)), duck(tmp_path), catalog.ORACLE_SQL[name]) == "", name
+
+
+def test_records_of_odd_parts(spark, sf_dir, tmp_path):
+    got = plan(catalog.QUERIES["clarify_categories"](spark, sf_dir))
+    assert "Exchange" not in got and "Aggregate" not in got
+    parts = [(7 * k, name, size) for k, name, size in ((0, "Big x", 0), (1, "y", 6), (2, "Z", 1), (3, "u", 2), (3, "V", 3), (4, None, 6), (5, "w", 4), (5, "w", 4), (6, "q", 12), (7, "q", 18), (8, "r", 24), (9, "s", 30))]
+    spark.createDataFrame([*parts, (1, "n", 5), (None, "n", 6)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert compare.differences(catalog.QUERIES["clarify_categories"](spark, str(tmp_path)), duck(tmp_path), catalog.ORACLE_SQL["clarify_categories"]) == ""
