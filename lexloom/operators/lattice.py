@@ -44,13 +44,13 @@ def weighted(edges: DataFrame, freqs: DataFrame, flags: dict[str, float] | None
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Number of the cut-point component of each edge: one starts where no earlier edge reaches over.
 
-    Edges of one start are of one component, so frames go by the value of ``beg``.
+    Edges of one start are of one component, so frames go by the value of ``beg``. A component is
+    counted at the first edge of its start, so one order of the rows serves all.
     """
     w = W.partitionBy(*keys).orderBy("beg")
     reach = F.max("nxt").over(w.rangeBetween(W.unboundedPreceding, -1))
-    starts = F.when(reach.isNull() | (reach <= F.col("beg")), F.col("beg"))
-    out = edges.withColumn("__s", starts).withColumn("__s", F.max("__s").over(w.rangeBetween(W.unboundedPreceding, 0)))
-    return out.withColumn("component", F.dense_rank().over(W.partitionBy(*keys).orderBy("__s")).cast("long")).drop("__s")
+    starts = ((reach.isNull() | (reach <= F.col("beg"))) & (F.row_number().over(w) == F.rank().over(w))).cast("long")
+    return edges.withColumn("component", starts).withColumn("component", F.sum("component").over(w.rangeBetween(W.unboundedPreceding, 0)))
 
 
 def sentences(edges: DataFrame, keys: list[str], is_stop: Column) -> DataFrame:
