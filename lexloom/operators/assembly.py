@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from lexloom.functions import tags, tokens
 from lexloom.operators import lattice as G
@@ -42,18 +43,24 @@ def lemmatised(parts: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFra
     return read_.join(kept, [*keys, "alt"]).withColumn("flag", flag)
 
 
+def _prepare(c: Columns) -> Columns:
+    out = G._reach(c, "first", "last")
+    node = {at: i for i, at in enumerate(sorted({*out["beg"], *out["nxt"]}))}
+    n = len(out["beg"])
+    status = ["ok" if s == "ok" else "not lemmatized" for s in out["status"]]
+    return out | {"status": status, "lnode": [node[b] for b in out["beg"]], "rnode": [node[x] for x in out["nxt"]], "n_edges": [n] * n}
+
+
 def prepared(edges: DataFrame, keys: list[str], cats: tuple[str, ...] = ("X", "MWEcomponent")) -> DataFrame:
     """Sentences ready to parse (G17): edges outside ``cats`` on the way from ``first``, their nodes counted from 0.
 
-    Adds lnode, rnode, n_edges and status: ``ok``, or ``not lemmatized`` where no path reaches ``last``.
+    Adds status, ``ok`` or ``not lemmatized`` where no path reaches ``last``, lnode, rnode and n_edges: one pass over a key.
     """
     kept = edges
     for cat in cats:
         kept = G.without_category(kept, cat)
-    on_way = G.reachable(kept, keys)
-    numbered = G.renumbered(on_way, keys)
-    n = numbered.groupBy(*keys).agg(F.count("*").alias("n_edges"))
-    return numbered.join(n, keys).withColumn("status", F.when(F.col("status") == "ok", "ok").otherwise("not lemmatized"))
+    more = [StructField("status", StringType()), StructField("lnode", IntegerType()), StructField("rnode", IntegerType()), StructField("n_edges", LongType())]
+    return by_key(kept, keys, G.ORDER, _prepare, StructType([*kept.schema.fields, *more]))
 
 
 def with_components(lexicon: DataFrame, rules: DataFrame) -> DataFrame:
