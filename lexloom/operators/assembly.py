@@ -96,27 +96,43 @@ def entry_index(entries: DataFrame) -> DataFrame:
     return entries.groupBy("pos", "lemma").agg(F.sort_array(F.collect_set("entry")).alias("entries"))
 
 
+def _slots(pos: Column, a: Column, proper: Column) -> dict[str, Column]:
+    """Values of the record's columns that an alternative ``a`` (slots x values, the pos first) allows."""
+    slot = lambda i: F.array_distinct(F.get(a, F.lit(i)))
+    none = F.array(F.lit(None).cast("string"))
+    nominal, verbal = pos.isin("subst", "adj"), pos == "fin"
+    return {
+        "number": F.when(nominal | verbal, slot(1)).otherwise(none),
+        "case": F.when(nominal, slot(2)).when(pos == "prep", slot(1)).otherwise(none),
+        "gender": F.when(nominal, slot(3)).otherwise(none),
+        "subtype": F.when(pos == "subst", F.array(proper)).when(pos == "adj", slot(4)).when(verbal, slot(2)).when(pos == "adv", slot(1)).otherwise(none),
+    }
+
+
 def clarified(rows: DataFrame, tag: str, lemma: str) -> DataFrame:
     """Category records of tagged lemmata (C1): a row for each number, case and gender an alternative allows.
 
     ``pos2`` is the coarse class, ``subtype`` proper or common for nouns, grade for adjectives and
     adverbs, person for verbs. Slots that a class lacks are null; ``_`` stands for all values;
-    alternatives of an unknown part of speech have no record.
+    alternatives of an unknown part of speech have no record. A row's records are distinct: one that
+    an earlier alternative of the row has is left out there, so no records are gathered.
     """
-    alts = rows.withColumn("__alts", tags.expand(tags.parse(F.col(tag)))).filter("__alts is not null")
-    alt = alts.withColumn("__a", F.explode("__alts")).withColumn("pos", F.expr("__a[0][0]"))
-    slot = lambda i: F.get(F.col("__a"), F.lit(i))
-    none = F.array(F.lit(None).cast("string"))
-    nominal, verbal = F.col("pos").isin("subst", "adj"), F.col("pos") == "fin"
-    number = F.when(nominal | verbal, slot(1)).otherwise(none)
-    case = F.when(nominal, slot(2)).when(F.col("pos") == "prep", slot(1)).otherwise(none)
-    gender = F.when(nominal, slot(3)).otherwise(none)
-    proper = F.array(F.when(F.col(lemma).rlike("^[A-Z]"), "proper").otherwise("common"))
-    subtype = F.when(F.col("pos") == "subst", proper).when(F.col("pos") == "adj", slot(4)).when(verbal, slot(2)).when(F.col("pos") == "adv", slot(1)).otherwise(none)
+    proper = F.when(F.col(lemma).rlike("^[A-Z]"), "proper").otherwise("common")
+    alts = rows.withColumn("__alts", tags.expand(tags.parse(F.col(tag)))).filter("__alts is not null").withColumn("__proper", proper)
+    alt = alts.select("*", F.posexplode("__alts").alias("__k", "__a")).withColumn("pos", F.expr("__a[0][0]"))
     out = alt.withColumn("pos2", tags.coarse(F.col("pos")))
-    for name, values in (("number", number), ("case", case), ("gender", gender), ("subtype", subtype)):
+    own = _slots(F.col("pos"), F.col("__a"), F.col("__proper"))
+    for name, values in own.items():
         out = out.withColumn(name, F.explode(values))
-    return out.drop("__alts", "__a").distinct()
+
+    def has(b: Column) -> Column:
+        same = b[0][0] == F.col("pos")
+        for name, values in _slots(F.col("pos"), b, F.col("__proper")).items():
+            same = same & (F.col(name).isNull() | F.coalesce(F.array_contains(values, F.col(name)), F.lit(False)))
+        return same
+
+    first = F.when(F.col("__k") == 0, True).otherwise(~F.exists(F.slice("__alts", 1, F.col("__k")), has))
+    return out.filter(first).drop("__alts", "__a", "__k", "__proper")
 
 
 # --- trees and graphs --------------------------------------------------------------------

@@ -168,11 +168,14 @@ _PARTS = "SELECT *, " + ", ".join(f"{a}[({i}) + 1] AS {n}" for n, (a, i) in _PIC
 TAGS_SQL = f"(SELECT p_partkey, {_TAG_EXPR} AS tag FROM ({_PARTS}))"
 
 
-def part_tags(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+def tagged_parts(p):
     for name, (options, at) in _PICK.items():
         p = p.withColumn(name, F.element_at(F.array(*map(F.lit, options)), F.expr(f"int({at}) + 1")))
-    return p.select("p_partkey", F.expr(_TAG_EXPR).alias("tag"))
+    return p.withColumn("tag", F.expr(_TAG_EXPR))
+
+
+def part_tags(spark, sf_dir):
+    return tagged_parts(table(spark, sf_dir, "part")).select("p_partkey", "tag")
 
 
 _ALTS = "list_transform(string_split({}, '|'), lambda a: list_transform(string_split(a, ':'), lambda s: string_split(s, '.')))"
