@@ -26,9 +26,10 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def vocabulary(edges: DataFrame) -> DataFrame:
-    """What occurs, as (op, arg) (M1)."""
-    both = F.explode(F.array(F.struct(F.lit("orth").alias("op"), F.lower("orth").alias("arg")), F.struct(F.lit("cat").alias("op"), F.col("cat").alias("arg"))))
-    return edges.select(both.alias("v")).select("v.*").filter("arg is not null").distinct()
+    """What occurs, as (op, arg) (M1): distinct words and categories first, then their pairs."""
+    words = edges.select(F.lower("orth").alias("orth"), "cat").distinct()
+    both = F.explode(F.array(F.struct(F.lit("orth").alias("op"), F.col("orth").alias("arg")), F.struct(F.lit("cat").alias("op"), F.col("cat").alias("arg"))))
+    return words.select(both.alias("v")).select("v.*").filter("arg is not null").distinct()
 
 
 def selected_rules(edges: DataFrame, rules: DataFrame) -> DataFrame:

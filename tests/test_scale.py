@@ -1,13 +1,18 @@
 """What larger tables showed: results on odd rows, and plans that keep bounded rows and few shuffles."""
 
+import random
+from collections import Counter
 from pathlib import Path
 
 import compare
 import duckdb
+import pyarrow as pa
+import regex
 
+from lexloom.functions import tokens
 from lexloom.operators import chart, semantics
 from lexloom.operators import mwe as M
-from lexloom.plans import catalog
+from lexloom.plans import catalog, lattice_queries
 from lexloom.plans.base import values
 
 
@@ -107,3 +112,73 @@ def test_records_of_odd_parts(spark, sf_dir, tmp_path):
     parts = [(7 * k, name, size) for k, name, size in ((0, "Big x", 0), (1, "y", 6), (2, "Z", 1), (3, "u", 2), (3, "V", 3), (4, None, 6), (5, "w", 4), (5, "w", 4), (6, "q", 12), (7, "q", 18), (8, "r", 24), (9, "s", 30))]
     spark.createDataFrame([*parts, (1, "n", 5), (None, "n", 6)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert compare.differences(catalog.QUERIES["clarify_categories"](spark, str(tmp_path)), duck(tmp_path), catalog.ORACLE_SQL["clarify_categories"]) == ""
+
+
+def edges_one_by_one(text):
+    """Tokens of a paragraph by one match after another."""
+    found = []
+    for m in regex.finditer(tokens.TOKEN, text or ""):
+        if m.group()[0] in " \t\r\n\f":
+            if found:
+                found[-1][-1] = 100 * (m.end() + 1)
+        else:
+            found.append([len(found) + 1, m.group(), 100 * (m.start() + 1), 100 * len(m.group()), 100 * (m.end() + 1)])
+    return found
+
+
+def test_tokens_of_columns_are_those_of_matches(monkeypatch):
+    rng = random.Random(5)
+    signs = "ab ß1٣½.,…\t 😀𝒜漢é́_ \f\n-  "
+    texts = [None, "", " ", " a", "a ", "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x11000)])), *("".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(400)), None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(range(len(texts)), pa.int32()), pa.array(texts)], names=["doc_id", "par_id", "paragraph"])
+    want = [[i or None, i, *e] for i, t in enumerate(texts) for e in edges_one_by_one(t)]
+    for part, size in ((batch, 2_000_000), (batch, 50), (batch.slice(7, 300), 100)):
+        monkeypatch.setattr(tokens, "CUT_BYTES", size)
+        got = [list(r.values()) for b in tokens.edge_batches(part, slices=True) for r in b.to_pylist()]
+        assert [g[:-1] for g in got] == [w for w in want if w[1] in set(part["par_id"].to_pylist())]
+        assert all(g[-1] == g[3] for g in got)
+    calls = []
+    monkeypatch.setattr(tokens, "FACTOR", 100)
+    monkeypatch.setattr(tokens, "_edges_of", lambda *a, f=tokens._edges_of: calls.append(1) or f(*a))
+    monkeypatch.setattr(tokens, "CUT_BYTES", 2_000_000)
+    list(tokens.edge_batches(batch))
+    assert len(calls) == 1  # whole columns, not a step for each paragraph or token
+
+
+TEXTS = ["the end. a. b. A.  x ..", "  of the and of the, and in the and de la ,\n\n . \n \t\n de la. z.", "A. of  the. B", "", None, "ß. éa. . x.y. of the", "and of the and of the and of the", "a.", "."]
+BY_TEXT = ["token_edges", "sentence_split", "orth_concat", "text_slices", "mwe_bigrams", "mwe_fixpoint", "rule_preselect", "lattice_vocabulary"]
+
+
+def test_texts_with_odd_paragraphs(spark, tmp_path):
+    at, con = odd_texts(spark, tmp_path, TEXTS)
+    for name in BY_TEXT:
+        assert compare.differences(catalog.QUERIES[name](spark, at), con, catalog.ORACLE_SQL[name]) == "", name
+
+
+def test_texts_of_one_id(spark, tmp_path):
+    """Texts of one id share paragraphs: sets stay sets, each edge meets both texts, null is an id that joins with nothing."""
+    rows = [(1, "a. of the x."), (1, "a. of the x."), (2, "of the and"), (None, "a. b."), (None, "a. b.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: Counter(r["doc_id"] for r in catalog.QUERIES[name](spark, str(tmp_path)).select("doc_id").collect())
+    assert run("mwe_fixpoint") == {1: 7, 2: 4, None: 4}
+    assert run("mwe_bigrams") == {1: 1, 2: 1}
+    assert run("orth_concat") == {1: 1, 2: 1, None: 1}
+    assert run("text_slices") == {1: 4 * 6, 2: 3}
+    got = {tuple(r) for r in catalog.QUERIES["sentence_split"](spark, str(tmp_path)).filter("doc_id = 2 or doc_id is null").select("doc_id", "sentence", "n_edges").collect()}
+    assert (2, 1, 3) in got
+
+
+def test_texts_are_read_once(spark, sf_dir):
+    for name, shuffles in (("sentence_split", 0), ("orth_concat", 0), ("text_slices", 0), ("mwe_bigrams", 4), ("mwe_fixpoint", 3)):
+        got = plan(catalog.QUERIES[name](spark, sf_dir))
+        assert got.count("documents.parquet") <= 2 - (name != "mwe_fixpoint") and got.count("Exchange hashpartitioning") <= shuffles and "SortMergeJoin" not in got, name
+
+
+def test_large_rule_tables_give_the_same(spark, sf_dir, monkeypatch):
+    edges = lattice_queries._mwe_edges(spark, sf_dir)
+    rules, made = lattice_queries._rules(spark)
+    few, one = (sorted(map(repr, f().collect())) for f in (lambda: M.grown(edges, rules, made, 4), lambda: M.produce(M.matches(edges, rules), made)))
+    monkeypatch.setattr(M, "BROADCAST_RULES", 3)
+    columns = ["doc_id", "par_id", "beg", "len", "nxt", "orth", "cat"]
+    assert few and few == sorted(map(repr, M.grown(edges, rules, made, 4).select(columns).collect()))
+    assert one == sorted(map(repr, M.produce(M.matches(edges, rules), made).collect()))
