@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexloom.functions import tags, tokens
+from lexloom.operators.grouped import apart
 from lexloom.plans.base import query, sql_values, table, values
 from lexloom.sources import text
 
@@ -151,10 +152,20 @@ def html_tag_scope(spark, sf_dir):
 
 @query(EDGES + "SELECT doc_id, par_id, md5(string_agg(orth || CASE WHEN beg + len < nxt THEN ' ' ELSE '' END, '' ORDER BY tok)) AS spaced, md5(string_agg(orth, '' ORDER BY tok)) AS joined FROM edges GROUP BY ALL")
 def orth_concat(spark, sf_dir):
-    """A paragraph's tokens are bounded by the paragraph, which is one row already."""
-    e = edges(spark, sf_dir).groupBy("doc_id", "par_id").agg(F.array_sort(F.collect_list(F.struct("tok", "orth", (F.col("beg") + F.col("len") < F.col("nxt")).alias("sp")))).alias("e"))
+    """Of a paragraph's own text, where white space behind a token is one space or none.
+
+    Documents of one id share paragraphs, whose tokens are gathered in order.
+    """
+    single, repeated = apart(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    space = "[ \t\r\n\f]+"
+    joined = F.regexp_replace("paragraph", space, "")
+    spaced = F.regexp_replace(F.regexp_replace("paragraph", f"^{space}", ""), space, " ")
+    found = tokens.paragraphs(single).filter(joined != "").select("doc_id", F.col("par_id").cast("int").alias("par_id"), F.md5(spaced).alias("spaced"), F.md5(joined).alias("joined"))
+    if repeated is None:
+        return found
+    e = tokens.tokenise(tokens.paragraphs(repeated)).groupBy("doc_id", "par_id").agg(F.array_sort(F.collect_list(F.struct("tok", "orth", (F.col("beg") + F.col("len") < F.col("nxt")).alias("sp")))).alias("e"))
     spaced = F.array_join(F.transform("e", lambda x: F.concat(x["orth"], F.when(x["sp"], " ").otherwise(""))), "")
-    return e.select("doc_id", "par_id", F.md5(spaced).alias("spaced"), F.md5(F.array_join("e.orth", "")).alias("joined"))
+    return found.unionByName(e.select("doc_id", "par_id", F.md5(spaced).alias("spaced"), F.md5(F.array_join("e.orth", "")).alias("joined")))
 
 
 # Tags of parts: part of speech by size, slots by keys, some with several values, some wild, some wrong.
