@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexloom.functions import tokens
 from lexloom.operators import chart as C
 from lexloom.operators import lattice as G
 from lexloom.operators import phonetics as P
 from lexloom.operators import semantics as S
-from lexloom.operators.grouped import by_key
+from lexloom.operators.grouped import apart, by_key
 from lexloom.plans.base import query, sql_values, table, values
 from lexloom.plans.lattice_queries import LATTICE, lattice
 from lexloom.plans.text_queries import EDGES, docs, edges
@@ -79,11 +80,17 @@ def greedy_cover(spark, sf_dir):
 
 @query(EDGES + "SELECT doc_id, par_id, tok, substr(paragraph, (beg / 100)::BIGINT, (len / 100)::BIGINT) AS slice FROM edges JOIN (SELECT doc_id, unnest(p) AS paragraph, generate_subscripts(p, 1)::INT AS par_id FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\\n\\r]'), lambda x: x <> '') AS p FROM documents)) USING (doc_id, par_id)")
 def text_slices(spark, sf_dir):
-    """What an edge's position cuts from its paragraph."""
-    from lexloom.functions import tokens
-
-    pars = tokens.paragraphs(docs(spark, sf_dir).select("doc_id", "text"))
-    return G.slices(pars, edges(spark, sf_dir), ["doc_id", "par_id"]).select("doc_id", "par_id", "tok", "slice")
+    """What an edge's position cuts from its paragraph, cut where the paragraph is at hand.
+
+    Documents of one id share paragraphs: each edge meets all texts of its own.
+    """
+    columns = ["doc_id", "par_id", "tok", "slice"]
+    single, repeated = apart(docs(spark, sf_dir).select("doc_id", "text").filter("doc_id is not null"), "doc_id")
+    found = tokens.tokenise(tokens.paragraphs(single), slices=True).select(columns)
+    if repeated is None:
+        return found
+    pars = tokens.paragraphs(repeated)
+    return found.unionByName(G.slices(pars, tokens.tokenise(pars), ["doc_id", "par_id"]).select(columns))
 
 
 # --- terms and graphs ------------------------------------------------------------------
