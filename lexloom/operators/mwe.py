@@ -3,10 +3,12 @@
 A rule is rows (rule_id, slot, op, arg); ``op`` is ``orth`` or ``cat``. A match is a chain of
 edges, the next beginning where the last ends. Only edges that some slot can match take
 part in matching: the filter is the vocabulary of the rules, broadcast while it is small.
+They are dealt by paragraph once, and a paragraph's chains and rounds are followed there.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from lexloom.operators.grouped import by_key
 from lexloom.sources.scratch import written
 
 KEYS = ["doc_id", "par_id"]
+EDGE = ["beg", "len", "nxt", "orth", "cat", "low"]
 #: A rule table up to so many rows is broadcast.
 BROADCAST_RULES = 100_000
 
@@ -40,8 +43,80 @@ def selected_rules(edges: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.join(live, "rule_id", "left_semi")
 
 
+Rules = tuple[dict, dict, dict]
+
+
+def _held(rules: DataFrame) -> Rules | None:
+    """A rule table as dictionaries: (op, arg) to the first slots it fills, (rule, slot) to all it may hold, rule to its slots; None beyond BROADCAST_RULES."""
+    rows = rules.select("rule_id", "slot", "op", "arg").take(BROADCAST_RULES + 1)
+    if len(rows) > BROADCAST_RULES:
+        return None
+    heads, slots, last = defaultdict(set), defaultdict(set), defaultdict(int)
+    for rule, slot, op, arg in rows:
+        slots[rule, slot].add((op, arg))
+        last[rule] = max(last[rule], slot)
+        if slot == 1:
+            heads[op, arg].add(rule)
+    return dict(heads), dict(slots), dict(last)
+
+
+def _chains(own: list[tuple], rules: Rules) -> list[tuple]:
+    """Matches among a paragraph's edges (beg, len, nxt, orth, cat, low): (rule, beg, end, nxt, orth, low, n_parts)."""
+    heads, slots, last = rules
+    at = defaultdict(list)
+    for e in own:
+        at[e[0]].append((e, {("orth", e[5]), ("cat", e[4])}))
+    found = []
+    for here in list(at.values()):
+        for (beg, length, nxt, orth, _, low), is_ in here:
+            for rule in set().union(*(heads.get(x, ()) for x in is_)):
+                open_ = [(beg + length, nxt, orth, low)]
+                for k in range(2, last[rule] + 1):
+                    want = slots.get((rule, k), ())
+                    grown = []
+                    for end, to, text, small in open_:
+                        gap = " " if end < to else ""
+                        grown += [(b + n, x, text + gap + o, small + gap + l) for (b, n, x, o, _, l), has in at.get(to, ()) if not has.isdisjoint(want)]
+                    open_ = grown
+                found += [(rule, beg, *chain, last[rule]) for chain in open_]
+    return found
+
+
+def _live(edges: DataFrame, rules: DataFrame) -> DataFrame:
+    """Edges that some slot can match, with their small letters; a chain needs keys to join by."""
+    wanted = rules.select("op", "arg").distinct()
+    n = wanted.count()
+    probe = edges.select(*KEYS, "beg", "len", "nxt", "orth", "cat", F.lower("orth").alias("low"))
+    words = _small(wanted.filter("op = 'orth'").select(F.col("arg").alias("low"), F.lit(True).alias("__w")).distinct(), n)
+    cats = _small(wanted.filter("op = 'cat'").select(F.col("arg").alias("cat"), F.lit(True).alias("__c")).distinct(), n)
+    probe = probe.filter(" and ".join(f"{k} is not null" for k in KEYS))  # nulls join with nothing
+    return probe.join(words, "low", "left").join(cats, "cat", "left").filter("__w or __c").select(probe.columns)
+
+
 def matches(edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """(KEYS, rule_id, beg, end_, nxt, orth, n_parts): chains of edges that match a rule (M3)."""
+    """(KEYS, rule_id, beg, end_, nxt, orth, n_parts): chains of edges that match a rule (M3).
+
+    The edges are read once: those that a slot can match are dealt by paragraph, whose chains are
+    followed in memory. Equal edges and alternatives make equal matches.
+    """
+    held = _held(rules)
+    if held is None:
+        return _joined(edges, rules)
+    names = ["rule_id", "beg", "end_", "nxt", "orth", "n_parts"]
+
+    def run(c):
+        found = _chains(list(zip(*(c[n] for n in EDGE))), held)
+        columns = list(zip(*((r, b, e, n, o, p) for r, b, e, n, o, _, p in found))) or [()] * len(names)
+        return {k: [c[k][0]] * len(found) for k in KEYS} | dict(zip(names, map(list, columns)))
+
+    live = _live(edges, rules)
+    kind = dict(live.dtypes)
+    schema = ", ".join(f"{k} {kind[k]}" for k in KEYS) + f", rule_id {dict(rules.dtypes)['rule_id']}, beg {kind['beg']}, end_ {kind['beg']}, nxt {kind['nxt']}, orth string, n_parts int"
+    return by_key(live, KEYS, ["beg", "nxt"], run, schema)
+
+
+def _joined(edges: DataFrame, rules: DataFrame) -> DataFrame:
+    """``matches`` by a join for each slot, for rule tables that no task should hold."""
     shape = rules.groupBy("rule_id").agg(F.max("slot").alias("slots"))
     longest, n = shape.agg(F.max("slots"), F.count("*")).first()
     if not longest:
