@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import partial
 from itertools import compress
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -65,6 +66,23 @@ def sentences(edges: DataFrame, keys: list[str], is_stop: Column) -> DataFrame:
     return c.join(per.select(*keys, "component", "sentence"), [*keys, "component"])
 
 
+def sentence_numbers(key: np.ndarray, beg: np.ndarray, nxt: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """``sentences`` over columns of whole keys, numbered upwards, sorted by key and start."""
+    if not len(key):
+        return key
+    far = int(max(nxt.max(), beg.max())) + 1
+    reach = np.maximum.accumulate(key * far + nxt)
+    place = np.append(True, (np.diff(key) != 0) | (np.diff(beg) != 0))  # the first edge of each start
+    at = np.flatnonzero(place)
+    opens = np.append(True, reach[at[1:] - 1] <= (key * far + beg)[at[1:]])
+    first = at[opens]  # the first edge of each component
+    closes = (np.diff(np.append(first, len(key))) == 1) & stop[first]
+    before = np.cumsum(closes) - closes
+    heads = np.append(True, np.diff(key[first]) != 0)
+    number = before - before[np.flatnonzero(heads)][np.cumsum(heads) - 1] + 1
+    return np.repeat(number, np.diff(np.append(first, len(key))))
+
+
 def one_sentence(edges: DataFrame) -> DataFrame:
     """(G13)"""
     return edges.withColumn("sentence", F.lit(1))

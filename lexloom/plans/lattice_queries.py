@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -10,6 +13,7 @@ from lexloom.operators import corpus as C
 from lexloom.operators import fuzzy as Z
 from lexloom.operators import lattice as G
 from lexloom.operators import mwe as M
+from lexloom.operators.grouped import apart
 from lexloom.plans.base import query, sql_values, table, values
 from lexloom.plans.text_queries import EDGES, PARS, docs, edges
 
@@ -99,12 +103,40 @@ q AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id, par_id ORDER
 SELECT doc_id, par_id, sentence::BIGINT AS sentence, min(beg)::BIGINT AS beg, max(nxt)::BIGINT AS nxt, sum(n)::BIGINT AS n_edges FROM q GROUP BY ALL""")
 def sentence_split(spark, sf_dir):
     """G11, G12."""
-    e = edges(spark, sf_dir).select("doc_id", "par_id", "beg", "len", "nxt", "orth")
+    single, repeated = apart(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    found = tokens.map_edges(tokens.paragraphs(single), _sentences_of, "doc_id long, par_id int, sentence long, beg long, nxt long, n_edges long")
+    if repeated is None:
+        return found
+    # Documents of one id share their paragraphs' lattices, whose edges have to meet.
+    e = tokens.tokenise(tokens.paragraphs(repeated)).select("doc_id", "par_id", "beg", "len", "nxt", "orth")
     b = e.filter("orth = '.'").select("doc_id", "par_id", F.col("beg").alias("b"), F.col("len").alias("bl"), F.col("nxt").alias("bn"))
     short = e.filter("length(orth) <= 2 and beg + len = nxt")
     abbr = short.join(b, [short.doc_id == b.doc_id, short.par_id == b.par_id, short.nxt == b.b]).select(short.doc_id, short.par_id, "beg", (F.col("b") + F.col("bl") - F.col("beg")).alias("len"), F.col("bn").alias("nxt"), F.concat("orth", F.lit(".")).alias("orth"))
     got = G.sentences(e.unionByName(abbr), ["doc_id", "par_id"], F.col("orth") == ".")
-    return got.groupBy("doc_id", "par_id", "sentence").agg(F.min("beg").cast("long").alias("beg"), F.max("nxt").cast("long").alias("nxt"), F.count("*").alias("n_edges"))
+    return found.unionByName(got.groupBy("doc_id", "par_id", "sentence").agg(F.min("beg").cast("long").alias("beg"), F.max("nxt").cast("long").alias("nxt"), F.count("*").alias("n_edges")))
+
+
+def _sentences_of(edges: pa.RecordBatch) -> pa.RecordBatch:
+    """Sentences of whole paragraphs' tokens with their abbreviations, by columns."""
+    beg, length, nxt, tok = (edges.column(n).to_numpy().astype(np.int64) for n in ("beg", "len", "nxt", "tok"))
+    orth = edges.column("orth")
+    stop = pc.equal(orth, ".").to_numpy(zero_copy_only=False)
+    key = np.cumsum(tok == 1)
+    abbr = np.zeros(len(beg), bool)
+    named = edges.column("doc_id").is_valid().to_numpy(zero_copy_only=False)  # without an id nothing joins
+    abbr[:-1] = named[:-1] & (pc.utf8_length(orth).to_numpy()[:-1] <= 2) & (beg + length == nxt)[:-1] & stop[1:] & (key[1:] == key[:-1])
+    # Each token, and behind it the edge over it and its stop.
+    i = np.repeat(np.arange(len(beg)), 1 + abbr)
+    wide = np.zeros(len(i), bool)
+    wide[1:] = i[1:] == i[:-1]
+    to = nxt[np.minimum(i + wide, len(beg) - 1)]
+    # An abbreviation of a stop is longer than one.
+    sentence = G.sentence_numbers(key[i], beg[i], to, stop[i] & ~wide)
+    first = np.flatnonzero(np.append(True, (np.diff(key[i]) != 0) | (np.diff(sentence) != 0))[: len(i)])
+    n = np.diff(np.append(first, len(i)))
+    most = np.maximum.reduceat(to, first) if len(first) else to
+    ids = [edges.column(c).take(pa.array(i[first])) for c in ("doc_id", "par_id")]
+    return pa.RecordBatch.from_arrays([*ids, *(pa.array(x, pa.int64()) for x in (sentence[first], beg[i][first], most, n))], names=["doc_id", "par_id", "sentence", "beg", "nxt", "n_edges"])
 
 
 @query(EDGES + "SELECT CASE WHEN orth = '.' THEN '<sentence>' ELSE '<clause>' END AS orth, count(*) AS n, sum(beg + len - 1)::BIGINT AS places FROM edges WHERE orth IN ('.', ',', ';', '¶') GROUP BY 1")
