@@ -142,27 +142,50 @@ def produce(found: DataFrame, productions: DataFrame) -> DataFrame:
     return made.select(*KEYS, "beg", (F.col("end_") - F.col("beg")).alias("len"), "nxt", "orth", "cat").distinct()
 
 
-def fixpoint(edges: DataFrame, rules: DataFrame, productions: DataFrame, rounds: int = 5) -> DataFrame:
-    """Edges with all that the rules make of them in up to ``rounds`` rounds, as a set (M5, M7).
+def grown(edges: DataFrame, rules: DataFrame, productions: DataFrame, rounds: int = 5) -> DataFrame:
+    """What ``fixpoint`` adds to the edges that a slot can match (M5, M7): all rounds of a paragraph in one place.
 
-    Only edges that a slot can match are carried through the rounds; the others join at the
-    end. Each round is a table of the shared folder, so its plan stays small and a lost
-    executor costs a round at most; the loop ends early when nothing new comes.
+    Each new edge comes once; no round is written or shuffled.
     """
-    n = rules.count()
-    wanted = _small(rules.select("op", "arg").distinct(), n)
-    probe = edges.select("*", F.lower("orth").alias("__o"))
-    live = probe.join(wanted.filter("op = 'orth'").select(F.col("arg").alias("__o")), "__o", "left_semi").drop("__o")
-    categorised = edges.filter("cat is not null").join(wanted.filter("op = 'cat'").select(F.col("arg").alias("cat")), "cat", "left_semi").select(live.columns)
-    live = written(live.unionByName(categorised).distinct(), "mwe")
-    size = live.count()
+    held = _held(rules)
+    if held is None:
+        return _grown_joined(edges, rules, productions, rounds)
+    cats = defaultdict(set)
+    for rule, cat in productions.select("rule_id", "cat").collect():
+        cats[rule].add(cat)
+
+    def run(c):
+        own = dict.fromkeys(zip(*(c[n] for n in EDGE)))
+        first, before = len(own), 0
+        for _ in range(rounds):
+            if len(own) == before:
+                break
+            before = len(own)
+            own |= dict.fromkeys((b, e - b, n, o, cat, low) for r, b, e, n, o, low, _ in _chains(list(own), held) for cat in cats.get(r, ()))
+        new = list(own)[first:]
+        return {k: [c[k][0]] * len(new) for k in KEYS} | {n: [e[i] for e in new] for i, n in enumerate(EDGE[:-1])}
+
+    live = _live(edges, rules)
+    return by_key(live, KEYS, ["beg", "nxt"], run, live.drop("low").schema)
+
+
+def _grown_joined(edges: DataFrame, rules: DataFrame, productions: DataFrame, rounds: int) -> DataFrame:
+    """``grown`` by joins, each round a table of the shared folder, for rule tables that no task should hold."""
+    first = written(_live(edges, rules).drop("low").distinct(), "mwe")
+    live, size = first, first.count()
     for _ in range(rounds):
-        live = written(live.unionByName(produce(matches(live, rules), productions)).distinct(), "mwe")
+        live = written(live.unionByName(produce(_joined(live, rules), productions)).distinct(), "mwe")
         now = live.count()
         if now == size:
             break
         size = now
-    return live.unionByName(edges.select(live.columns)).distinct()
+    return live.subtract(first)
+
+
+def fixpoint(edges: DataFrame, rules: DataFrame, productions: DataFrame, rounds: int = 5) -> DataFrame:
+    """Edges with all that the rules make of them in up to ``rounds`` rounds, as a set (M5, M7)."""
+    edges = edges.select(*KEYS, "beg", "len", "nxt", "orth", "cat")
+    return edges.unionByName(grown(edges, rules, productions, rounds)).distinct()
 
 
 def contained(spans: DataFrame, keys: list[str], same: list[str]) -> DataFrame:

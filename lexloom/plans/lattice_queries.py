@@ -212,9 +212,18 @@ def mwe_bigrams(spark, sf_dir):
 
 @query(_FIX + "SELECT doc_id, par_id, beg, len, nxt, orth, cat FROM e4 UNION SELECT doc_id, par_id, beg, len, nxt, orth, NULL FROM edges")
 def mwe_fixpoint(spark, sf_dir):
-    """M2, M5, M7: set semantics, four rounds."""
+    """M2, M5, M7: set semantics, four rounds.
+
+    New edges have categories and tokens have none; so new ones are distinct, and tokens are but
+    for documents of one id.
+    """
     r, p = _rules(spark)
-    return M.fixpoint(_mwe_edges(spark, sf_dir), r, p, rounds=4).select("doc_id", "par_id", "beg", "len", "nxt", "orth", "cat")
+    columns = ["doc_id", "par_id", "beg", "len", "nxt", "orth", "cat"]
+    new = M.grown(_mwe_edges(spark, sf_dir), r, p, rounds=4)
+    single, repeated = apart(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    own = lambda d: tokens.tokenise(tokens.paragraphs(d)).withColumn("cat", F.lit(None).cast("string")).select(columns)
+    found = own(single).unionByName(new.select(columns))
+    return found if repeated is None else found.unionByName(own(repeated).distinct())
 
 
 @query(EDGES + "SELECT 'orth' AS op, lower(orth) AS arg FROM edges GROUP BY ALL")
